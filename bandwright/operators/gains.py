@@ -77,7 +77,7 @@ def gains_table(
         based = hist.filter((F.col("sample") == baseline) & F.col("x").isNotNull())
         probs = F.array(*[F.lit(p) for p in steps])
         edge_frame = based.groupBy("segment", "score_name").agg(
-            _domain_edges(F.percentile("x", probs, "n")).alias("edges")
+            _domain_edges(F.percentile("x", probs, F.col("n"))).alias("edges")
         )
     if in_time_total:
         hist = with_in_time_total(hist)
