@@ -156,16 +156,10 @@ def woe_table(
 
 def banded_woe_table(df: DataFrame, target: str, columns: Sequence[str], q: int = 10) -> DataFrame:
     """(variable, band, ...) over `q` equal-width bands; empty bands are absent, nulls ignored."""
-    edges = equal_width_edges(df, columns, q)
-    banded = df.select(
-        target,
-        *[
-            F.when(finite(c).isNotNull(), edges_below(finite(c), edges[c][1:-1]) + 1).alias(c)
-            for c in columns
-            if edges[c]
-        ],
-    )
+    clean = df.select(target, *[finite(c).alias(c) for c in columns])
+    edges = equal_width_edges(clean, columns, q)
     used = [c for c in columns if edges[c]]
+    banded = clean.select(target, *[(edges_below(F.col(c), edges[c][1:-1]) + 1).alias(c) for c in used])
     long = unpivot(banded, [target], used, "int", value="band").filter(
         F.col("band").isNotNull() & F.col(target).isNotNull()
     )

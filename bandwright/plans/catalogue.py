@@ -23,7 +23,7 @@ from bandwright.plans.frames import (
     BOOK, CATEGORICAL, FEATURES, cards, doc_panel, modelling, table,
 )
 from bandwright.plans.frames import panel as order_panel
-from bandwright.sources.session import scratch_path
+from bandwright.sources.session import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -48,7 +48,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def panel_assembly(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(modelling(spark, folder), 4)
+    return rounded(modelling(spark, folder))
 
 
 @query
@@ -192,7 +192,7 @@ def clean_numeric(spark: SparkSession, folder: str) -> DataFrame:
     filled = cleaning.fill_numeric_mean(
         zeroed, ["am_avg_a", "am_min_r", "ratio", "priority_code", "not_a_number"]
     )
-    return rounded(filled, 4)
+    return rounded(filled)
 
 
 @query
@@ -212,7 +212,7 @@ def median_mode_impute(spark: SparkSession, folder: str) -> DataFrame:
     )
     middle = medians(rows, ["am_avg_a"])["am_avg_a"]
     common = encoding.mode_values(rows, ["segment"])["segment"]
-    return rounded(rows.fillna({"am_avg_a": middle, "segment": common}), 4)
+    return rounded(rows.fillna({"am_avg_a": middle, "segment": common}))
 
 
 CLASS_SPECS = [
@@ -270,12 +270,12 @@ def cohort_share_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def numeric_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(profile.numeric_summary(modelling(spark, folder), AMOUNTS, ["sample"]), 4)
+    return rounded(profile.numeric_summary(written(modelling(spark, folder).select("sample", "ref_portfolio", *AMOUNTS)), AMOUNTS, ["sample"]), 4)
 
 
 @query
 def boxplot_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(profile.boxplot_stats(modelling(spark, folder), AMOUNTS, ["ref_portfolio"]), 4)
+    return rounded(profile.boxplot_stats(written(modelling(spark, folder).select("sample", "ref_portfolio", *AMOUNTS)), AMOUNTS, ["ref_portfolio"]), 4)
 
 
 @query
@@ -288,7 +288,8 @@ def filtered_median(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _dev(spark: SparkSession, folder: str) -> DataFrame:
-    return modelling(spark, folder).filter(F.col("sample") == "dev")
+    """Development rows, written once for the screening passes to read."""
+    return written(modelling(spark, folder).filter(F.col("sample") == "dev"), "dev")
 
 
 @query
@@ -479,7 +480,8 @@ def auc_gini(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def auc_gini_fractional(spark: SparkSession, folder: str) -> DataFrame:
     named = {"mean_price": "am_avg_a", "score_a": "score_a"}
-    return rounded(ranking.auc_gini(modelling(spark, folder), "bad", named, ["sample"]))
+    df = written(modelling(spark, folder).select("sample", "bad", *named.values()))
+    return rounded(ranking.auc_gini(df, "bad", named, ["sample"]))
 
 
 @query
@@ -530,7 +532,8 @@ def gains_zero_first(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def gains_fractional(spark: SparkSession, folder: str) -> DataFrame:
     """Raw (not truncated) scores: the mean line price in hundreds."""
-    df = modelling(spark, folder).withColumn("raw", F.col("am_avg_n") / 100)
+    raw = modelling(spark, folder).select("sample", "bad", (F.col("am_avg_n") / 100).alias("raw"))
+    df = written(raw)
     return rounded(gains.gains_table(df, "bad", ["raw"], in_time_total=True))
 
 

@@ -68,7 +68,7 @@ SQL: dict[str, str] = {}
 SQL["panel_assembly"] = (
     "WITH " + MODELLING + " SELECT order_id, consumer_id, ref_portfolio, sample, bad, score_a, score_b, "
     "segment, priority, region, "
-    + ", ".join(f"{c}" if c.startswith("ct") else f"{r(c, 4)} AS {c}" for c in BOOK_COLUMNS)
+    + ", ".join(f"{c}" if c.startswith("ct") else f"{r(c)} AS {c}" for c in BOOK_COLUMNS)
     + " FROM modelling"
 )
 SQL["dedup_lookup_join"] = """
@@ -143,9 +143,9 @@ WITH {MODELLING}, raw AS (
     try_cast(substr(priority, 1, 1) AS DOUBLE) AS priority_code,
     try_cast(substr(segment, 1, 1) AS DOUBLE) AS not_a_number FROM modelling),
 means AS (SELECT avg(am_avg_a) AS a, avg(am_min_r) AS b, avg(ratio) AS c, avg(priority_code) AS d FROM raw)
-SELECT order_id, {r('coalesce(am_avg_a, a)', 4)} AS am_avg_a, {r('coalesce(am_min_r, b)', 4)} AS am_min_r,
-  {r('coalesce(am_tot_n, 0)', 4)} AS zero_am_tot_n, {r('coalesce(ratio, c)', 4)} AS ratio,
-  {r('coalesce(priority_code, d)', 4)} AS priority_code, coalesce(not_a_number, 0)::DOUBLE AS not_a_number
+SELECT order_id, {r('coalesce(am_avg_a, a)')} AS am_avg_a, {r('coalesce(am_min_r, b)')} AS am_min_r,
+  {r('coalesce(am_tot_n, 0)')} AS zero_am_tot_n, {r('coalesce(ratio, c)')} AS ratio,
+  {r('coalesce(priority_code, d)')} AS priority_code, coalesce(not_a_number, 0)::DOUBLE AS not_a_number
 FROM raw, means"""
 SQL["clean_categorical"] = f"""
 WITH {DOCS} SELECT doc_id, coalesce(lang, 'others') AS lang,
@@ -155,7 +155,7 @@ SQL["median_mode_impute"] = f"""
 WITH {MODELLING}, raw AS (SELECT order_id, am_avg_a, nullif(segment, 'BUILDING') AS segment FROM modelling),
 mid AS (SELECT quantile_cont(am_avg_a, 0.5) AS m FROM raw),
 top AS (SELECT segment AS s FROM raw WHERE segment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-SELECT order_id, {r('coalesce(am_avg_a, m)', 4)} AS am_avg_a, coalesce(segment, s) AS segment FROM raw, mid, top"""
+SELECT order_id, {r('coalesce(am_avg_a, m)')} AS am_avg_a, coalesce(segment, s) AS segment FROM raw, mid, top"""
 
 
 def band_case(x: str, uppers, labels, other: str, points=None, low=None, closed=True, outside=None, null=None) -> str:
@@ -207,8 +207,8 @@ _all = ["order_id", "consumer_id", "ref_portfolio", "sample", "bad", "score_a",
         "priority", "region", *BOOK_COLUMNS]
 _profile = union(
     [
-        f"SELECT '{c}' AS variable, count(*) AS rows, count_if({c} IS NULL) AS missing, "
-        + ("NULL::BIGINT" if c in _text else f"count_if({c} = 0)")
+        f"SELECT '{c}' AS variable, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS missing, "
+        + ("NULL::BIGINT" if c in _text else f"count(*) FILTER (WHERE {c} = 0)")
         + " AS zeros FROM modelling"
         for c in _all
     ]
@@ -246,7 +246,7 @@ j AS (SELECT l.*, q1, q2, q3, value BETWEEN q1 - (q3 - q1) * 1.5::DOUBLE AND q3
   FROM l JOIN b USING (ref_portfolio, variable) WHERE value IS NOT NULL)
 SELECT ref_portfolio, variable, count(*) AS n, {r('any_value(q1)', 4)} AS q1, {r('any_value(q2)', 4)} AS median,
   {r('any_value(q3)', 4)} AS q3, {r('min(CASE WHEN ok THEN value END)', 4)} AS whisker_low,
-  {r('max(CASE WHEN ok THEN value END)', 4)} AS whisker_high, CAST(count_if(NOT ok) AS BIGINT) AS outliers
+  {r('max(CASE WHEN ok THEN value END)', 4)} AS whisker_high, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS outliers
 FROM j GROUP BY ref_portfolio, variable"""
 SQL["filtered_median"] = f"""
 WITH {PANEL} SELECT 'score_a' AS variable, {r('quantile_cont(score_a::DOUBLE, 0.5)')} AS median, count(score_a) AS n
@@ -287,7 +287,7 @@ FROM (SELECT variable, sum(cell) AS chi2, any_value(levels) - 1 AS dof, min(leas
     SELECT *, (g + b) * ag::DOUBLE / (ag + ab) AS eg, (g + b) * ab::DOUBLE / (ag + ab) AS eb,
       CASE WHEN levels = 2 THEN 1 ELSE 0 END AS y FROM (
       SELECT *, sum(g) OVER w AS ag, sum(b) OVER w AS ab, count(*) OVER w AS levels FROM (
-        SELECT variable, value, count_if({target} = 0) AS g, count_if({target} = 1) AS b
+        SELECT variable, value, count(*) FILTER (WHERE {target} = 0) AS g, count(*) FILTER (WHERE {target} = 1) AS b
         FROM ({long(source, columns, target)}) WHERE value IS NOT NULL AND {target} IS NOT NULL
         GROUP BY variable, value) WINDOW w AS (PARTITION BY variable)))) GROUP BY variable)"""
 
@@ -310,7 +310,7 @@ def woe(source: str, columns: list[str], target: str, null_level: bool = False)
   CASE WHEN g > 0 AND b > 0 THEN ln(dg / db) * (dg - db) ELSE 0 END AS iv
 FROM (SELECT *, g / tg::DOUBLE AS dg, b / tb::DOUBLE AS db FROM (
   SELECT *, {good} AS tg, {bad} AS tb FROM (
-    SELECT variable, {value} AS value, count_if({target} = 0) AS g, count_if({target} = 1) AS b, count(*) AS n
+    SELECT variable, {value} AS value, count(*) FILTER (WHERE {target} = 0) AS g, count(*) FILTER (WHERE {target} = 1) AS b, count(*) AS n
     FROM ({long(source, columns, target)}) GROUP BY 1, 2) WINDOW w AS (PARTITION BY variable)))
 WHERE value IS NOT NULL"""
 
@@ -331,7 +331,7 @@ NUMERIC_IV = f"""banded AS (
   SELECT variable, 1 + {_inner} AS band, bad FROM (
     SELECT *, min(value) OVER (PARTITION BY variable) AS lo, max(value) OVER (PARTITION BY variable) AS hi
     FROM ({long('dev', FEATURES, 'bad', 'DOUBLE')}) WHERE value IS NOT NULL)),
-cells AS (SELECT variable, band, count_if(bad = 0) AS g, count_if(bad = 1) AS b FROM banded GROUP BY ALL),
+cells AS (SELECT variable, band, count(*) FILTER (WHERE bad = 0) AS g, count(*) FILTER (WHERE bad = 1) AS b FROM banded GROUP BY ALL),
 dists AS (SELECT *, g / (sum(g) OVER w)::DOUBLE AS dg, b / (sum(b) OVER w)::DOUBLE AS db FROM cells
   WINDOW w AS (PARTITION BY variable)),
 iv_num AS (SELECT variable, sum(CASE WHEN g > 0 AND b > 0 THEN ln(dg / db) * (dg - db) ELSE 0 END) AS iv
@@ -347,8 +347,8 @@ _pairs = union(
 SQL["correlation_pairs"] = f"WITH {DEV} SELECT col_a, col_b, {r('abs_r')} AS abs_r FROM ({_pairs})"
 _missing = union(
     [
-        f"SELECT '{c}' AS variable, (count_if({c} IS NULL)"
-        + ("" if c in CATEGORICAL else f" + count_if({c} = 0)")
+        f"SELECT '{c}' AS variable, (count(*) FILTER (WHERE {c} IS NULL)"
+        + ("" if c in CATEGORICAL else f" + count(*) FILTER (WHERE {c} = 0)")
         + ")::DOUBLE / count(*) AS share FROM dev"
         for c in [*FEATURES, *CATEGORICAL]
     ]
@@ -374,7 +374,7 @@ SELECT variable, reason FROM found WHERE variable <> 'score_a'"""
 def smoothed(source: str, column: str) -> str:
     return f"""(SELECT {column} AS level, ln((b + 1) / (tb + 2.0::DOUBLE)) - ln((g + 1) / (tg + 2.0::DOUBLE)) AS w FROM (
   SELECT *, sum(g) OVER () AS tg, sum(b) OVER () AS tb FROM (
-    SELECT {column}, count_if(bad = 0) AS g, count_if(bad = 1) AS b FROM {source} GROUP BY 1)))"""
+    SELECT {column}, count(*) FILTER (WHERE bad = 0) AS g, count(*) FILTER (WHERE bad = 1) AS b FROM {source} GROUP BY 1)))"""
 
 
 SQL["woe_encode"] = f"""
@@ -403,7 +403,7 @@ def histogram(source: str, scores: dict[str, str]) -> str:
             for n, c in scores.items()
         ]
     )
-    return f"""h AS (SELECT sample, score_name, score, count_if(bad = 0) AS g, count_if(bad = 1) AS b
+    return f"""h AS (SELECT sample, score_name, score, count(*) FILTER (WHERE bad = 0) AS g, count(*) FILTER (WHERE bad = 1) AS b
   FROM ({rows}) GROUP BY ALL),
 c AS (SELECT *, sum(g) OVER w AS gu, sum(b) OVER w AS bu, sum(g) OVER k AS ag, sum(b) OVER k AS ab FROM h
   WINDOW w AS (PARTITION BY sample, score_name ORDER BY score ROWS UNBOUNDED PRECEDING),
@@ -471,7 +471,7 @@ e AS (SELECT segment, score_name, list_sort(list_distinct(list_concat([0.0::DOUB
   FROM r0 WHERE sample = 'dev' AND x IS NOT NULL GROUP BY ALL),
 m AS (SELECT r1.*, edges, len(list_filter(edges, lambda q: q < x)) AS below FROM r1 JOIN e USING (segment, score_name)),
 bd AS (SELECT *, CASE {zero_case} WHEN below BETWEEN 1 AND len(edges) - 1 AND x IS NOT NULL THEN below END AS band FROM m),
-cnt AS (SELECT segment, score_name, sample, band, count_if(bad = 0) AS g, count_if(bad = 1) AS b FROM bd GROUP BY ALL),
+cnt AS (SELECT segment, score_name, sample, band, count(*) FILTER (WHERE bad = 0) AS g, count(*) FILTER (WHERE bad = 1) AS b FROM bd GROUP BY ALL),
 tt AS (SELECT segment, score_name, sample, sum(g) AS ag, sum(b) AS ab FROM cnt GROUP BY ALL),
 sk AS (SELECT segment, score_name, sample, edges, ag, ab, unnest(range(1, len(edges))) AS band
     FROM tt JOIN e USING (segment, score_name)
@@ -511,8 +511,8 @@ SQL["segment_gains"] = f"WITH {MODELLING}, " + gains(
 
 def banded(column: str, inner: str, bands: int, model: str, target: bool = True) -> str:
     """Counts per band; `inner` counts the inner edges below the value."""
-    g = "count_if(bad = 0)" if target else "CAST(0 AS BIGINT)"
-    b = "count_if(bad = 1)" if target else "CAST(0 AS BIGINT)"
+    g = "count(*) FILTER (WHERE bad = 0)" if target else "CAST(0 AS BIGINT)"
+    b = "count(*) FILTER (WHERE bad = 1)" if target else "CAST(0 AS BIGINT)"
     total = "good + bad" if target else "n"
     pct = (lambda c: r(f"{c} / (sum({c}) OVER s)::DOUBLE")) if target else (lambda c: "0.0::DOUBLE")
     return f"""SELECT sample, '2001' AS cohort, '{model}' AS model_id, '{column}' AS variable, CAST(band AS INTEGER) AS band,

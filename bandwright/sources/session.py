@@ -47,7 +47,12 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame, kind: str = "table") -> DataFrame:
+    """The frame as a parquet table in the shared folder.
+
+    For inputs that several passes read: the joins behind `df` run once, each pass
+    reads only its columns, and a lost executor costs no recomputation.
+    """
+    path = scratch_path(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
