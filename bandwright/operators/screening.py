@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import add
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.functions.banding import edges_below
-from bandwright.functions.columns import chunks, count_if, finite, log_ratio, share, unpivot
+from bandwright.functions.columns import INF, chunks, count_if, finite, log_ratio, share, unpivot
 from bandwright.functions.pvalues import chi2_tail_col, t_two_sided_col
 from bandwright.operators.quantiles import medians
 
@@ -29,15 +29,17 @@ def point_biserial_stats(
     y = F.col(target).cast("double")
     out = None
     for batch in chunks(columns, BATCH):
-        lines, aggregates = [], [F.count(y).alias("n")]
+        lines, aggregates = [], [F.count(y).alias("n"), F.stddev_pop(y).alias("sy")]
         for i, c in enumerate(batch):
             x = F.coalesce(F.col(c).cast("double"), F.lit(fill[c]))
-            aggregates.append(F.corr(x, y).alias(f"r{i}"))
-            lines.append(F.struct(F.lit(c).alias("variable"), F.col(f"r{i}").alias("r")))
+            # corr() divides by zero on a constant column in ANSI mode.
+            aggregates += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"s{i}")]
+            r = F.try_divide(F.col(f"c{i}"), F.col(f"s{i}") * F.col("sy"))
+            lines.append(F.struct(F.lit(c).alias("variable"), r.alias("r")))
         part = df.filter(y.isNotNull()).agg(*aggregates).select("n", F.inline(F.array(*lines)))
         out = part if out is None else out.unionByName(part)
     r = F.when(~F.isnan("r"), F.col("r"))
-    t = r * F.sqrt(F.try_divide(F.col("n") - 2, 1 - r * r))
+    t = F.when(F.abs(r) < 1, r * F.sqrt((F.col("n") - 2) / (1 - r * r))).otherwise(r * INF)
     return out.select("variable", "n", r.alias("r"), t.alias("t"))
 
 
@@ -158,12 +160,16 @@ def banded_woe_table(df: DataFrame, target: str, columns: Sequence[str], q: int
     """(variable, band, ...) over `q` equal-width bands; empty bands are absent, nulls ignored."""
     clean = df.select(target, *[finite(c).alias(c) for c in columns])
     edges = equal_width_edges(clean, columns, q)
-    used = [c for c in columns if edges[c]]
-    banded = clean.select(target, *[(edges_below(F.col(c), edges[c][1:-1]) + 1).alias(c) for c in used])
-    long = unpivot(banded, [target], used, "int", value="band").filter(
-        F.col("band").isNotNull() & F.col(target).isNotNull()
-    )
-    cells = long.groupBy("variable", "band").agg(*good_bad(target))
+    inner = [f"__e{i}" for i in range(1, q)]
+    rows = [(c, *e[1:-1]) for c, e in edges.items() if e]
+    shape = ", ".join(["variable string", *[f"{name} double" for name in inner]])
+    # One row per screened column, a bound known from the schema. Looking the edges
+    # up per long row keeps the generated code small however many columns there are.
+    lookup = F.broadcast(df.sparkSession.createDataFrame(rows, shape))
+    long = unpivot(clean.filter(F.col(target).isNotNull()), [target], columns, "double")
+    band = reduce(add, [(F.col("value") > F.col(name)).cast("int") for name in inner], F.lit(1))
+    banded = long.filter(F.col("value").isNotNull()).join(lookup, "variable")
+    cells = banded.groupBy("variable", band.alias("band")).agg(*good_bad(target))
     totals = cells.groupBy("variable").agg(
         F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")
     )

@@ -410,10 +410,8 @@ def _chosen(df: DataFrame, **override):
 def fit_compare(spark: SparkSession, folder: str) -> DataFrame:
     df = _kept(spark, folder)
     dev = df.filter(F.col("sample") == "dev")
-    fitted = {
-        c.name: models.fit(dev, "bad", FEATURES, CATEGORICAL, c, **SMALL[c.family])
-        for c in (models.QUICK_FOREST, *models.FINALISTS)
-    }
+    finalists = [models.QUICK_FOREST, *models.FINALISTS]
+    fitted = models.fit_all(dev, "bad", FEATURES, CATEGORICAL, finalists, SMALL)
     return _report(rounded(models.compare(df, fitted, "bad", FEATURES)), df)
 
 
