@@ -56,11 +56,30 @@ def unpivot(
     name: str = "variable",
     value: str = "value",
 ) -> DataFrame:
-    """Long form (keep..., name, value) of `columns` cast to one type."""
-    wide = df.select(*keep, *[F.col(c).cast(kind).alias(c) for c in columns])
-    return wide.unpivot(list(keep), list(columns), name, value)
+    """Long form (keep..., name, value) of `columns` cast to one type.
+
+    A generator rather than UNPIVOT: plans above an Expand are not recognised as
+    equal, so an aggregate and its totals would each scan the base.
+    """
+    pairs = [
+        F.struct(F.lit(c).alias(name), F.col(c).cast(kind).alias(value)) for c in columns
+    ]
+    return df.select(*keep, F.inline(F.array(*pairs)))
 
 
 def percent_text(column: Column) -> Column:
     """Share as text with two decimals."""
     return F.format_string("%.2f%%", column * 100)
+
+
+def join_back(left: DataFrame, right: DataFrame, keys: Sequence[str], broadcast: bool = False) -> DataFrame:
+    """Inner join of an aggregate with totals of that same aggregate.
+
+    Null-safe on purpose: plain equality lets the optimizer push `isnotnull` into
+    one side only, the two sides then differ and their common shuffle is computed
+    twice. This way the base is scanned once.
+    """
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    joined = left.join(F.broadcast(renamed) if broadcast else renamed, on)
+    return joined.drop(*[f"__r_{k}" for k in keys])

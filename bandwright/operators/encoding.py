@@ -12,7 +12,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwright.functions.columns import unpivot
+from bandwright.functions.columns import join_back, unpivot
 from bandwright.operators.screening import value_counts
 
 # Levels per fit held as plain parameters of the model; encoding a column with
@@ -39,13 +39,13 @@ def mode_values(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 def woe_levels(df: DataFrame, target: str, columns: Sequence[str], smoothing: float = 1.0) -> DataFrame:
     """(variable, value, woe) with woe = ln((bad+a)/(B+2a)) - ln((good+a)/(G+2a))."""
-    cells = value_counts(df, target, columns).filter(F.col("value").isNotNull())
+    cells = value_counts(df, target, columns).filter("present")
     totals = cells.groupBy("variable").agg(
         F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")
     )
     a = F.lit(float(smoothing))
     # One row per encoded column, a bound known from the schema.
-    joined = cells.join(F.broadcast(totals), "variable")
+    joined = join_back(cells, totals, ["variable"], broadcast=True)
     woe = F.ln((F.col("bad") + a) / (F.col("all_bad") + 2 * a)) - F.ln(
         (F.col("good") + a) / (F.col("all_good") + 2 * a)
     )

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwright.functions.banding import edges_below, edges_below_array, snap_up
-from bandwright.functions.columns import finite, is_fractional, percent_text, share
+from bandwright.functions.columns import finite, is_fractional, join_back, percent_text, share
 from bandwright.operators.panel import with_in_time_total
 from bandwright.operators.quantiles import exact_quantiles
-from bandwright.operators.screening import cut_range, good_bad
+from bandwright.operators.screening import cut_range, tally
 
 DOMAIN = (0, 1000)
 # Edges are compared with whole scores; interpolation noise is cut off first.
@@ -74,10 +74,15 @@ def gains_table(
         )
     else:
         hist = _per_segment(_histogram(flagged, columns, flags), segments, flags)
-        based = hist.filter((F.col("sample") == baseline) & F.col("x").isNotNull())
+        # Conditional, not filtered: a filter would reach the scan and the histogram
+        # would be built twice.
+        based = F.when(F.col("sample") == baseline, F.col("x"))
         probs = F.array(*[F.lit(p) for p in steps])
-        edge_frame = based.groupBy("segment", "score_name").agg(
-            _domain_edges(F.percentile("x", probs, F.col("n"))).alias("edges")
+        edge_frame = hist.groupBy("segment", "score_name").agg(
+            F.coalesce(
+                _domain_edges(F.percentile(based, probs, F.col("n"))),
+                F.array(*[F.lit(float(d)) for d in DOMAIN]),
+            ).alias("edges")
         )
     if in_time_total:
         hist = with_in_time_total(hist)
@@ -98,7 +103,7 @@ def _histogram(flagged: DataFrame, columns: Mapping[str, str], flags: Sequence[s
         F.struct(F.lit(n).alias("score_name"), F.col(c).alias("x")) for n, c in columns.items()
     ]
     long = flagged.select("sample", *flags, "__y", F.inline(F.array(*pairs)))
-    return long.groupBy("sample", *flags, "score_name", "x").agg(*good_bad("__y"))
+    return tally(long.groupBy("sample", *flags, "score_name", "x"), "__y")
 
 
 def _per_segment(hist: DataFrame, segments: Sequence[Segment], flags: Sequence[str]) -> DataFrame:
@@ -144,7 +149,7 @@ def _gains(hist: DataFrame, edges: DataFrame, zero_in_first: bool) -> DataFrame:
     band = F.when((below >= 1) & (below < F.size("edges")), below)
     if zero_in_first:
         band = F.when(F.col("x") == DOMAIN[0], F.lit(1)).otherwise(band)
-    joined = hist.join(edges, ["segment", "score_name"]).withColumn("band", band)
+    joined = join_back(hist, edges, ["segment", "score_name"]).withColumn("band", band)
     counted = joined.groupBy(*keys, "edges", "band").agg(*_sums())
     rows = _every_band(counted, [*keys, "edges"], F.size("edges") - 1)
     # One table is a dozen rows.
@@ -239,11 +244,12 @@ def banded_gains(
     x = finite(column)
     below = edges_below(x, cuts)
     band = F.when((x == 0) & F.lit(cuts[0] == 0), 1).when((below >= 1) & (below < len(cuts)), below)
-    tallies = good_bad(target) if target else [
-        F.lit(0).cast("bigint").alias("good"), F.lit(0).cast("bigint").alias("bad"),
-        F.count(F.lit(1)).alias("n"),
-    ]
-    counted = df.withColumn("band", band).groupBy(*by, "band").agg(*tallies)
+    grouped = df.withColumn("band", band).groupBy(*by, "band")
+    if target:
+        counted = tally(grouped, target)
+    else:
+        zero = F.lit(0).cast("bigint")
+        counted = grouped.agg(F.count(F.lit(1)).alias("n")).withColumns({"good": zero, "bad": zero})
     rows = _every_band(counted, by, F.lit(len(cuts) - 1))
     text = F.array(*[F.lit(str(c)) for c in cuts])
     label = F.concat(

@@ -8,10 +8,10 @@ from operator import add
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from bandwright.functions.columns import INF, chunks, count_if, finite, log_ratio, share, unpivot
+from bandwright.functions.columns import INF, chunks, count_if, finite, join_back, log_ratio, share, unpivot
 from bandwright.functions.pvalues import chi2_tail_col, t_two_sided_col
 from bandwright.operators.quantiles import medians
 
@@ -64,16 +64,31 @@ def _decide(stats: DataFrame, alpha: float) -> DataFrame:
 
 
 def value_counts(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
-    """(variable, value, good, bad, n) for all columns in one unpivoted aggregate."""
-    long = unpivot(df, [target], columns, "string")
-    return long.groupBy("variable", "value").agg(*good_bad(target))
+    """(variable, value, good, bad, n, present) for all columns in one unpivoted aggregate.
 
+    `present` tells a value from null. It is an aggregate, so that filtering on it
+    stays above the shuffle, which cells and their totals share.
+    """
+    present = F.max(F.col("value").isNotNull()).alias("present")
+    parts = [
+        tally(unpivot(df, [target], batch, "string").groupBy("variable", "value"), target, present)
+        for batch in chunks(columns, BATCH)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def tally(grouped: GroupedData, target: str, *more: Column) -> DataFrame:
+    """Counts per group: good (y = 0), bad (y = 1) and n (all rows).
 
-def good_bad(target: str) -> list[Column]:
+    `n` is the sum of its parts, so an aggregate read twice, once for cells and once
+    for totals, keeps the same columns on both sides and is shuffled once.
+    """
     y = F.col(target)
-    return [
-        count_if(y == 0).alias("good"), count_if(y == 1).alias("bad"), F.count(F.lit(1)).alias("n"),
-    ]
+    counted = grouped.agg(
+        count_if(y == 0).alias("good"), count_if(y == 1).alias("bad"),
+        count_if(y.isNull() | ~y.isin(0, 1)).alias("unknown"), *more,
+    )
+    return counted.withColumn("n", F.col("good") + F.col("bad") + F.col("unknown")).drop("unknown")
 
 
 # --- chi-square ---------------------------------------------------------------------------
@@ -85,7 +100,7 @@ def chi_square_stats(df: DataFrame, target: str, columns: Sequence[str], least:
     2x2 tables get Yates' correction: each |O - E| is cut by 1/2, at most to 0.
     """
     cells = value_counts(df, target, columns).filter(
-        F.col("value").isNotNull() & (F.col("good") + F.col("bad") > 0)
+        F.col("present") & (F.col("good") + F.col("bad") > 0)
     )
     totals = cells.groupBy("variable").agg(
         F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"),
@@ -93,7 +108,7 @@ def chi_square_stats(df: DataFrame, target: str, columns: Sequence[str], least:
         F.min(F.least("good", "bad")).alias("smallest"),
     )
     # One row per screened column, a bound known from the schema.
-    joined = cells.join(F.broadcast(totals), "variable")
+    joined = join_back(cells, totals, ["variable"], broadcast=True)
     row, total = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad")
     yates = F.col("levels") == 2
 
@@ -148,11 +163,12 @@ def woe_table(
             F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")
         )
     else:
-        seen_bad = F.sum(F.when(F.col("value").isNotNull(), F.col("bad")).otherwise(0))
+        seen_bad = F.sum(F.when(F.col("present"), F.col("bad")).otherwise(0))
         totals = cells.groupBy("variable").agg(
             (F.sum("n") - seen_bad).alias("all_good"), seen_bad.alias("all_bad")
         )
-        cells = cells.filter(F.col("value").isNotNull())
+        # No group is empty; naming `n` keeps both sides of the join on one shuffle.
+        cells = cells.filter(F.col("present") & (F.col("n") > 0))
     return _weigh(cells, totals, ["variable", "value"])
 
 
@@ -169,7 +185,7 @@ def banded_woe_table(df: DataFrame, target: str, columns: Sequence[str], q: int
     long = unpivot(clean.filter(F.col(target).isNotNull()), [target], columns, "double")
     band = reduce(add, [(F.col("value") > F.col(name)).cast("int") for name in inner], F.lit(1))
     banded = long.filter(F.col("value").isNotNull()).join(lookup, "variable")
-    cells = banded.groupBy("variable", band.alias("band")).agg(*good_bad(target))
+    cells = tally(banded.groupBy("variable", band.alias("band")), target)
     totals = cells.groupBy("variable").agg(
         F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad")
     )
@@ -178,7 +194,7 @@ def banded_woe_table(df: DataFrame, target: str, columns: Sequence[str], q: int
 
 def _weigh(cells: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
     # One row per screened column, a bound known from the schema.
-    joined = cells.join(F.broadcast(totals), "variable")
+    joined = join_back(cells, totals, ["variable"], broadcast=True)
     dist_good, dist_bad = share(F.col("good"), F.col("all_good")), share(F.col("bad"), F.col("all_bad"))
     out = joined.select(*keys, "good", "bad", dist_good.alias("dist_good"), dist_bad.alias("dist_bad"))
     out = out.withColumn("woe", log_ratio(F.col("dist_good"), F.col("dist_bad")))

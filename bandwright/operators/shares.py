@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.functions.columns import chunks, share, unpivot
+from bandwright.functions.columns import chunks, join_back, share, unpivot
 
 # A pivot is a report: one column per value.
 MAX_PIVOT = 1_000
@@ -20,11 +20,8 @@ def cohort_shares(df: DataFrame, cohort: str, columns: Sequence[str]) -> DataFra
     out, as in a crosstab.
     """
     long = unpivot(df.filter(F.col(cohort).isNotNull()), [cohort], columns, "string")
-    tally = (
-        long.filter(F.col("value").isNotNull())
-        .groupBy(cohort, "variable", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    known = long.filter(F.col("value").isNotNull())
+    tally = known.groupBy(cohort, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
     return with_share(tally, [cohort, "variable"])
 
 
@@ -35,7 +32,7 @@ def with_share(tally: DataFrame, keys: Sequence[str]) -> DataFrame:
     values is never gathered into one window partition.
     """
     totals = tally.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    joined = tally.join(totals, list(keys))
+    joined = join_back(tally, totals, keys)
     return joined.select(*tally.columns, (share(F.col("n"), F.col("__total")) * 100).alias("pct"))
 
 

@@ -374,7 +374,8 @@ def woe_encode(spark: SparkSession, folder: str) -> DataFrame:
 def woe_encode_join(spark: SparkSession, folder: str) -> DataFrame:
     """The join form, for columns of any number of levels (here the customer)."""
     rows = order_panel(spark, folder).select("order_id", "sample", "bad", "consumer_id")
-    levels = encoding.woe_levels(rows.filter(F.col("sample") == "dev"), "bad", ["consumer_id"])
+    dev = rows.filter(F.col("sample") == "dev")
+    levels = written(encoding.woe_levels(dev, "bad", ["consumer_id"]), "levels")
     coded = encoding.encode_by_join(rows, levels, ["consumer_id"])
     return rounded(coded.select("order_id", "consumer_id_woe"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bandwright.operators import allrelevant, models, monitoring, profile, screening
 from bandwright.operators.panel import Satellite, exclude, first_per_key, star_assembly
 from bandwright.sources.model_store import load_newest, save_run
+from bandwright.sources.session import written
 from bandwright.sources.tables import write_parquet
 
 
@@ -100,9 +101,12 @@ def drift_report(
     baseline: DataFrame, production: DataFrame, classes: Sequence[str], cohort: str,
     baseline_label: str,
 ) -> Mapping[str, DataFrame]:
-    """The class distribution of both frames appended, and the stability index on it."""
+    """The class distribution of both frames appended, and the stability index on it.
+
+    The distribution is written once; the index compares it with itself.
+    """
     frame = monitoring.append_frames(baseline, production, [*classes, cohort])
-    distribution = monitoring.class_distribution(frame, cohort, classes)
+    distribution = written(monitoring.class_distribution(frame, cohort, classes), "distribution")
     return {
         "distribution": distribution,
         "psi": monitoring.stability_index(distribution, cohort, baseline_label),
