@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.columns import chunks, finite, unpivot
 
-# Distinct values one percentile buffer, or one ranked bracket, may hold.
-BUFFER_LIMIT = 1_000_000
+# Distinct values one percentile buffer, or one ranked bracket, may hold; with the
+# columns of a pass this bounds a task's memory to a few hundred megabytes.
+BUFFER_LIMIT = 250_000
+COLUMNS_PER_PASS = 20
 SKETCH = 10_000
-COLUMNS_PER_PASS = 50
 
 
 def exact_quantiles(
@@ -98,44 +99,47 @@ def _narrowed(df, columns, probabilities, by, limit):
                 }
             )
 
-    def bracketed(items):
-        rows = [(*w["key"], w["p"], w["lo"], w["hi"]) for w in items]
-        frame = spark.createDataFrame(rows, f"{key_types}, p double, lo double, hi double")
+    def bracketed(brackets, extra=()):
+        """Values next to every bracket of their group; `extra` columns ride along."""
+        fields = [key_types, "lo double", "hi double", *[f"{c} double" for c in extra]]
+        frame = spark.createDataFrame(list(brackets), ", ".join(fields))
         # report-sized, see above
         joined = values.join(F.broadcast(frame), [values[k].eqNullSafe(frame[k]) for k in keys])
-        return joined.select(*[frame[k] for k in keys], "p", "lo", "hi", "value")
+        return joined.select(*[frame[k] for k in keys], "lo", "hi", *extra, "value")
 
-    slack, open_ones = 2.0, wanted
+    inside_bracket = F.col("value").between(F.col("lo"), F.col("hi"))
+    slack = 2.0
     while True:
         open_ones = [w for w in wanted if w["inside"] > limit and w["lo"] < w["hi"]]
         if not open_ones:
             break
-        # Sketch the bracket around both wanted ranks, then count exactly.
-        groups: dict[tuple, list] = {}
-        inside = bracketed(open_ones).filter(F.col("value").between(F.col("lo"), F.col("hi")))
+        # Sketch around both wanted ranks (one sketch per distinct bracket: the first
+        # round has one per group), then count exactly.
         fractions = {}
         for w in open_ones:
             left = (w["first"] - w["below"]) / w["inside"] - slack / SKETCH
             right = (w["last"] - w["below"] + 1) / w["inside"] + slack / SKETCH
             fractions[(w["key"], w["p"])] = (max(left, 0.0), min(right, 1.0))
         distinct = sorted({f for pair in fractions.values() for f in pair})
+        brackets = {(*w["key"], w["lo"], w["hi"]) for w in open_ones}
+        inside = bracketed(brackets).filter(inside_bracket)
+        found: dict[tuple, dict] = {}
         for part in chunks(distinct, 200):
-            sketch = inside.groupBy(*keys, "p").agg(
+            sketch = inside.groupBy(*keys, "lo", "hi").agg(
                 F.percentile_approx("value", [float(f) for f in part], SKETCH * 10).alias("s")
             )
             for r in sketch.collect():
-                found = groups.setdefault((tuple(r[k] for k in keys), r["p"]), {})
-                found.update(zip(part, r["s"]))
+                found.setdefault(tuple(r[k] for k in [*keys, "lo", "hi"]), {}).update(zip(part, r["s"]))
         for w in open_ones:
             left, right = fractions[(w["key"], w["p"])]
-            s = groups[(w["key"], w["p"])]
+            s = found[(*w["key"], w["lo"], w["hi"])]
             w["try"] = (
                 w["lo"] if left <= 0.0 else s[left], w["hi"] if right >= 1.0 else s[right]
             )
-        tries = [dict(w, lo=w["try"][0], hi=w["try"][1]) for w in open_ones]
-        counted = bracketed(tries).groupBy(*keys, "p").agg(
+        tries = [(*w["key"], *w["try"], w["p"]) for w in open_ones]
+        counted = bracketed(tries, ["p"]).groupBy(*keys, "p").agg(
             F.count_if(F.col("value") < F.col("lo")).alias("below"),
-            F.count_if(F.col("value").between(F.col("lo"), F.col("hi"))).alias("inside"),
+            F.count_if(inside_bracket).alias("inside"),
         )
         exact = {(tuple(r[k] for k in keys), r["p"]): r for r in counted.collect()}
         moved = False
@@ -162,9 +166,10 @@ def _narrowed(df, columns, probabilities, by, limit):
         "at double, n long",
     )
     point = F.col("lo") == F.col("hi")
+    unranked = [w for w in wanted if w["lo"] < w["hi"]] or wanted
     ties = (
-        bracketed([w for w in wanted if w["lo"] < w["hi"]] or wanted)
-        .filter(F.col("value").between(F.col("lo"), F.col("hi")))
+        bracketed([(*w["key"], w["lo"], w["hi"], w["p"]) for w in unranked], ["p"])
+        .filter(inside_bracket)
         .groupBy(*keys, "p", "value")
         .agg(F.count(F.lit(1)).alias("m"))
     )

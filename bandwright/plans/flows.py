@@ -59,17 +59,22 @@ def screen(
         iv = iv.unionByName(
             screening.information_value(screening.banded_woe_table(kept, target, numeric))
         )
+        iv = _report(iv)  # read by three rules
         dropped = screening.select_features(
             sparse=profile.sparse_profile(kept, every), tests=tests, iv=iv, least_iv=least_iv,
             correlation=screening.correlation_pairs(kept, numeric),
             most_correlation=most_correlation, exclude=exclude_names, include=include_names,
         )
-        rows = dropped.collect()  # O(columns)
-        return dev.sparkSession.createDataFrame(rows, "variable string, reason string")
+        return _report(dropped)
     finally:
         kept.unpersist()
 
 
+def _report(df: DataFrame) -> DataFrame:
+    """A result of O(columns) rows, computed now and held as literals."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def score_population(
     population_frame: DataFrame, model: PipelineModel, numeric: Sequence[str], keep: Sequence[str],
     score: str = "score", path: str | None = None, cohort: str | None = None,
