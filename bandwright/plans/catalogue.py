@@ -459,7 +459,8 @@ def reload_parity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def score_population(spark: SparkSession, folder: str) -> DataFrame:
-    df = modelling(spark, folder)
+    # The assembled table is written, as the study does, then trained on and scored.
+    df = written(modelling(spark, folder), "modelling")
     model = _chosen(df)
     rules = [("01. Out of range", (F.col("score_b") < 18) | (F.col("score_b") > 900))]
     base = panel.exclude(df, rules, "exclusao")

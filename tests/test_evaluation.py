@@ -26,7 +26,9 @@ def brute_auc(pairs):
 
 
 @pytest.mark.parametrize("column", ["score", "raw"])
-def test_auc_matches_all_pairs(scored, column):
+@pytest.mark.parametrize("rows", [250_000, 100])
+def test_auc_matches_all_pairs(scored, column, rows, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", rows)
     out = {r["sample"]: r for r in ranking.auc_gini(scored, "y", [column], ["sample"]).collect()}
     for sample in ("dev", "val", "oot"):
         pairs = [(r[column], r["y"]) for r in scored.filter(F.col("sample") == sample).collect()]
