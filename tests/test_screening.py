@@ -125,7 +125,7 @@ def test_all_relevant_search_finds_the_planted_feature(spark):
     data = [(i, float(signal[i]), float(noise[i, 0]), float(noise[i, 1]), str(kind[i]), int(y[i])) for i in range(n)]
     df = spark.createDataFrame(data, "id int, signal double, n1 double, n2 double, kind string, y int")
     found = allrelevant.all_relevant(
-        df, "y", ["signal", "n1", "n2"], ["kind"], ["id"], iterations=9, trees=10, partitions=2
+        df, "y", ["signal", "n1", "n2"], ["kind"], ["id"], iterations=9, trees=10
     )
     rows = {r["variable"]: r for r in found.collect()}
     assert rows["signal"]["decision"] == "confirmed" and rows["signal"]["hits"] == rows["signal"]["trials"]
