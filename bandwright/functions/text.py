@@ -23,19 +23,23 @@ def keep_listed(
     return F.when(low.isin(*values), low).otherwise(F.lit(default))
 
 
-def first_contained(
-    column: Column,
+def with_first_contained(
+    df: DataFrame,
+    column: str,
+    output: str,
     tokens: Sequence[str] = presets.DEVICE_BRANDS,
     default: str = presets.DEVICE_DEFAULT,
-) -> Column:
-    """First token, in list order, found anywhere in the lower-cased text.
+) -> DataFrame:
+    """Add the first token, in list order, found anywhere in the lower-cased text.
 
-    One flat coalesce over the single lower-cased value; order decides because a
-    short token such as `lg` also occurs inside longer words.
+    Order decides because a short token such as `lg` also occurs inside longer
+    words. The text is lowered once, in its own projection: inside the chain it
+    would be lowered again for every token.
     """
-    low = F.lower(column)
-    hits = [F.when(low.contains(t), F.lit(t)) for t in tokens]
-    return F.coalesce(*hits, F.lit(default))
+    low = f"__{output}_low"
+    hits = [F.when(F.col(low).contains(t), F.lit(t)) for t in tokens]
+    lowered = df.withColumn(low, F.lower(F.col(column)))
+    return lowered.withColumn(output, F.coalesce(*hits, F.lit(default))).drop(low)
 
 
 def group_by_dictionary(

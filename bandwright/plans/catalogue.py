@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from bandwright.functions import presets
 from bandwright.functions.banding import Bands, Groups, with_classes
 from bandwright.functions.columns import INF
-from bandwright.functions.text import first_contained, group_by_dictionary, keep_listed
+from bandwright.functions.text import group_by_dictionary, keep_listed, with_first_contained
 from bandwright.operators import (
     allrelevant, attribution, cleaning, encoding, gains, models, monitoring, panel, profile,
     ranking, screening, search, shares,
@@ -33,7 +33,7 @@ AMOUNTS = ["am_tot_a", "am_tot_n", "am_tot_r", "score_a", "score_b"]
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
+    REGISTRY[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -151,9 +151,10 @@ def normalise_text(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("documents").alias("origin"), F.regexp_extract("text", r"@([A-Za-z0-9-]+)\.", 1).alias("domain"),
         F.col("text").alias("body"),
     )
-    marked = pages.unionByName(docs).select(
+    branded = with_first_contained(pages.unionByName(docs), "body", "brand")
+    marked = branded.select(
         "origin", keep_listed(F.col("domain"), (*presets.EMAIL_DOMAINS, "example", "mail2")).alias("domain_group"),
-        first_contained(F.col("body")).alias("brand"),
+        "brand",
     )
     return marked.groupBy("origin", "domain_group", "brand").agg(F.count(F.lit(1)).alias("n"))
 
@@ -441,7 +442,7 @@ def importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def attribution_summary(spark: SparkSession, folder: str) -> DataFrame:
+def attribution_(spark: SparkSession, folder: str) -> DataFrame:
     df = _kept(spark, folder)
     model = _chosen(df)
     explained = attribution.attributions(

@@ -428,16 +428,16 @@ SQL["auc_gini_fractional"] = (
 )
 SQL["roc_points"] = f"""
 WITH {PANEL}, {histogram('panel', BOTH)}
-SELECT sample, score_name, CAST(score AS BIGINT) AS threshold, {r('(ag - gu + g) / ag::DOUBLE')} AS fpr,
+SELECT sample, score_name, CAST(score AS INTEGER) AS threshold, {r('(ag - gu + g) / ag::DOUBLE')} AS fpr,
   {r('(ab - bu + b) / ab::DOUBLE')} AS tpr FROM c
-UNION ALL SELECT DISTINCT sample, score_name, NULL::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE FROM c"""
+UNION ALL SELECT DISTINCT sample, score_name, NULL::INTEGER, 0.0::DOUBLE, 0.0::DOUBLE FROM c"""
 SQL["ks_two_sample"] = f"""
 WITH {PANEL}, {histogram('panel', BOTH)}
 SELECT sample, score_name, CAST(sum(g) AS BIGINT) AS good, CAST(sum(b) AS BIGINT) AS bad,
   {r('max(abs(gu / ag::DOUBLE - bu / ab::DOUBLE))')} AS ks FROM c GROUP BY 1, 2"""
 SQL["ks_curve"] = f"""
 WITH {PANEL}, {histogram('panel', BOTH)}
-SELECT sample, score_name, CAST(score AS BIGINT) AS threshold, {r('gu / ag::DOUBLE')} AS cum_good,
+SELECT sample, score_name, CAST(score AS INTEGER) AS threshold, {r('gu / ag::DOUBLE')} AS cum_good,
   {r('bu / ab::DOUBLE')} AS cum_bad, {r('bu / ab::DOUBLE - gu / ag::DOUBLE')} AS difference FROM c"""
 
 SCORE_C = "CAST(floor((score_a + score_b) / 2) AS INTEGER)"

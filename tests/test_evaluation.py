@@ -25,10 +25,11 @@ def brute_auc(pairs):
     return ((bad[:, None] > good).sum() + 0.5 * (bad[:, None] == good).sum()) / (len(good) * len(bad))
 
 
-@pytest.mark.parametrize("column", ["score", "raw"])
+@pytest.mark.parametrize("column", ["score", "raw", "long"])
 @pytest.mark.parametrize("rows", [250_000, 100])
 def test_auc_matches_all_pairs(scored, column, rows, monkeypatch):
     monkeypatch.setattr(ranking, "RANGE_ROWS", rows)
+    scored = scored.withColumn("long", F.col("score").cast("bigint") * 10**15)
     out = {r["sample"]: r for r in ranking.auc_gini(scored, "y", [column], ["sample"]).collect()}
     for sample in ("dev", "val", "oot"):
         pairs = [(r[column], r["y"]) for r in scored.filter(F.col("sample") == sample).collect()]

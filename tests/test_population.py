@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bandwright.functions import presets
 from bandwright.functions.banding import with_classes
-from bandwright.functions.text import first_contained, group_by_dictionary, keep_listed
+from bandwright.functions.text import group_by_dictionary, keep_listed, with_first_contained
 from bandwright.operators import panel
 
 
@@ -77,7 +77,7 @@ def test_in_time_total(spark):
 
 def test_text_rules(spark):
     df = spark.createDataFrame([("GMAIL", "Samsung LG x"), (None, None), ("corp", "algo")], "domain string, device string")
-    got = df.select(keep_listed(F.col("domain")), first_contained(F.col("device"))).collect()
+    got = with_first_contained(df, "device", "brand").select(keep_listed(F.col("domain")), "brand").collect()
     assert [tuple(r) for r in got] == [("gmail", "samsung"), ("Outros/Erro", "outros"), ("Outros/Erro", "lg")]
 
 
