@@ -21,6 +21,8 @@ from bandwright.functions.columns import chunks, finite, unpivot
 BUFFER_LIMIT = 250_000
 COLUMNS_PER_PASS = 20
 SKETCH = 10_000
+# Brackets (groups x columns x probabilities) small enough to broadcast.
+MAX_BROADCAST = 100_000
 
 
 def exact_quantiles(
@@ -102,9 +104,10 @@ def _narrowed(df, columns, probabilities, by, limit):
     def bracketed(brackets, extra=()):
         """Values next to every bracket of their group; `extra` columns ride along."""
         fields = [key_types, "lo double", "hi double", *[f"{c} double" for c in extra]]
-        frame = spark.createDataFrame(list(brackets), ", ".join(fields))
-        # report-sized, see above
-        joined = values.join(F.broadcast(frame), [values[k].eqNullSafe(frame[k]) for k in keys])
+        rows = list(brackets)
+        frame = spark.createDataFrame(rows, ", ".join(fields))
+        hinted = F.broadcast(frame) if len(rows) <= MAX_BROADCAST else frame
+        joined = values.join(hinted, [values[k].eqNullSafe(frame[k]) for k in keys])
         return joined.select(*[frame[k] for k in keys], "lo", "hi", *extra, "value")
 
     inside_bracket = F.col("value").between(F.col("lo"), F.col("hi"))
