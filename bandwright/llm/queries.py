@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import decontaminate
+from bandwright.llm import bpe, decontaminate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,28 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def vocabulary_path() -> str:
+    """The public byte-level vocabulary of this installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id with the digests of the ids and of the text decoded from them."""
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(_table(spark, folder, "documents"), vocabulary_path())
+
+
 REGISTRY: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
+    "op10_bpe": op10_bpe,
 }
