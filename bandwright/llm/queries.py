@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import bpe, decontaminate
+from bandwright.llm import bpe, decontaminate, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,12 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    weights = toxicity.train(docs, _table(spark, folder, "labels"))
+    return toxicity.score(docs, weights).select("doc_id", "held_out", "score", "predicted")
+
+
 def vocabulary_path() -> str:
     """The public byte-level vocabulary of this installation."""
     import public_tokenizers
@@ -51,5 +57,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }

@@ -119,6 +119,15 @@ def words(texts: pa.Array, separators: np.ndarray) -> Words:
     return Words(data, start, end, hashes, np.searchsorted(start, ends))
 
 
+def stem_hashes(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words longer than `size` bytes, by number, and the hash of their first `size` bytes."""
+    longer = np.flatnonzero(found.end - found.start > size)
+    total = np.full(len(longer), size * _BASE % 2**64, np.uint64)
+    for i in range(size):
+        total += _BYTES[found.data[found.start[longer] + i]] * _PLACES[i]
+    return longer, mix(total ^ np.uint64(_BASE))
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of every `width` consecutive words, across rows too; the width counts."""
     n = len(hashes) - width + 1
