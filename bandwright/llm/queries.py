@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import bpe, decontaminate, toxicity
+from bandwright.llm import bpe, decontaminate, jaccard, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(_table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     marked = decontaminate.mark(docs, _table(spark, folder, "benchmark"))
@@ -56,6 +60,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Query] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_decontamination": op4_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,

@@ -28,6 +28,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
+OP2 = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM doc),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+    FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (
+    SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b
+    WHERE 100 * c >= 75 * (p.n + q.n - c)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM way UNION SELECT reach.a, way.b FROM reach JOIN way ON way.a = reach.b)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(doc_id, min(b)) AS component_id
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN reach ON reach.a = doc_id GROUP BY doc_id
+"""
+
 SQL: dict[str, str] = {
+    "op2_jaccard_join": OP2,
     "op4_decontamination": OP4,
 }
