@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import bpe, decontaminate, jaccard, toxicity
+from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,13 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(_table(spark, folder, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.with_next(_table(spark, folder, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     marked = decontaminate.mark(docs, _table(spark, folder, "benchmark"))
@@ -61,6 +68,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
