@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, toxicity
+from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,24 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _joined(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _of_kinds(spans: str, *kinds: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find(_table(spark, folder, "documents").select("doc_id", "text"))
+    kinds = [rule.kind for rule in secrets.BASE]
+    return found.select(
+        "doc_id", *[F.size(_of_kinds("spans", k)).cast("bigint").alias(f"n_{k}") for k in kinds],
+        F.sha2(_joined(_of_kinds("spans", *kinds)), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(_table(spark, folder, "documents"))
 
@@ -67,6 +85,7 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Query] = {
+    "op1_secrets": op1_secrets,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,

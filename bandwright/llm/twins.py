@@ -28,6 +28,55 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
+# Kind, pattern, and the pattern whose length must be at least the number (of the whole match
+# where it is empty); the same rules as in secrets.py, written for RE2.
+_SECRETS = [
+    ("assign", """(?i:password|passwd|secret|token|api_?key)["\']?\\x20*[:=]\\x20*["\']?[A-Za-z0-9+/_.=-]+""",
+     """^(?i:password|passwd|secret|token|api_?key)["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)$""", 12),
+    ("access", "AKIA[A-Z0-9]+", "", 18),
+    ("hex", "[0-9a-f]+", "", 16),
+    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "", 0),
+    ("code_host", "gh[pousr]_[A-Za-z0-9]{36,}", "", 0),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", "", 0),
+    ("cloud_key", "AIza[A-Za-z0-9_-]{35}", "", 0),
+    ("payment", "[rs]k_live_[A-Za-z0-9]{16,}", "", 0),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "", 0),
+    ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20:/@]{1,100}:[^\x00-\x20:/@]{1,100}@", "", 0),
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _matches(kind: str, place: int, pattern: str, part: str, least: int) -> str:
+    """Matches with their starts: lengths of the pieces between the matches, summed up."""
+    size = f"length(regexp_extract(m, {_quoted(part)}, 1))" if part else "length(m)"
+    return f"""
+    SELECT doc_id, '{kind}' AS kind, {place} AS place, start, start + length(m) AS stop FROM (
+        SELECT doc_id, m, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m))::BIGINT AS start
+        FROM (
+            SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(pattern)}, 0)) AS m,
+                unnest(regexp_split_to_array(text, {_quoted(pattern)})[:-2]) AS g,
+                unnest(range(len(regexp_extract_all(text, {_quoted(pattern)}, 0)))) AS i
+            FROM documents))
+    WHERE {size} >= {least}"""
+
+
+OP1 = f"""
+WITH span AS ({" UNION ALL ".join(_matches(k, i, p, q, n) for i, (k, p, q, n) in enumerate(_SECRETS))}),
+joined AS (
+    SELECT doc_id,
+        count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
+        count(*) FILTER (place = 2) AS n_hex,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 3) AS base,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
+    FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN joined USING (doc_id)
+"""
+
 OP2 = rf"""
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingle AS (SELECT DISTINCT doc_id, unnest(CASE
@@ -47,6 +96,7 @@ FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN reach ON reach.a = doc_id GROUP
 """
 
 SQL: dict[str, str] = {
+    "op1_secrets": OP1,
     "op2_jaccard_join": OP2,
     "op4_decontamination": OP4,
 }
