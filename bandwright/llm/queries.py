@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, secrets, toxicity
+from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, secrets, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages").select("page_id", "url")).drop("url")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     weights = toxicity.train(docs, _table(spark, folder, "labels"))
@@ -89,6 +93,7 @@ REGISTRY: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,
+    "op6_urls": op6_urls,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }

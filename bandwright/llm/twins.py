@@ -95,8 +95,41 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(doc_id, mi
 FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN reach ON reach.a = doc_id GROUP BY doc_id
 """
 
+_STRICT = ["porn", "xxx", "hentai", "escort", "camgirl", "warez", "viagra", "cialis"]
+_SOFT = [
+    "adult", "sex", "nude", "dating", "casino", "poker", "bet", "betting", "slots", "jackpot",
+    "loan", "payday", "pills", "pharmacy", "crack", "keygen", "torrent", "replica", "cheap", "free",
+]
+
+
+def _terms(terms: list[str]) -> str:
+    return " + ".join(f"regexp_matches(lower(url), '(^|[^a-z0-9]){t}($|[^a-z0-9])')::INT" for t in terms)
+
+
+OP6 = rf"""
+WITH part AS (
+    SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path,
+        coalesce({_terms(_STRICT)}, 0)::INT AS strict_hits, coalesce({_terms(_SOFT)}, 0)::INT AS soft_hits
+    FROM pages),
+ruled AS (
+    SELECT *, CASE
+        WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+        WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+        WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+        WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule
+    FROM part)
+SELECT *, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
 SQL: dict[str, str] = {
     "op1_secrets": OP1,
     "op2_jaccard_join": OP2,
     "op4_decontamination": OP4,
+    "op6_urls": OP6,
 }
