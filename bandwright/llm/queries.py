@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, secrets, toxicity, urls
+from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, secrets, toxicity, urls, warc
+from bandwright.sources.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +58,12 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(_table(spark, folder, "pages"), path)
+    return warc.page_records(spark, path)
+
+
 def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages").select("page_id", "url")).drop("url")
 
@@ -93,6 +100,7 @@ REGISTRY: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
     "op6_urls": op6_urls,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,

@@ -95,6 +95,23 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(doc_id, mi
 FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN reach ON reach.a = doc_id GROUP BY doc_id
 """
 
+# Base 32 of a SHA-1 digest: five hexadecimal digits make four characters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha, {i}, 5))::INT // {d}) % 32 + 1, 1)"
+    for i in range(1, 41, 5) for d in (32768, 1024, 32, 1)
+)
+OP5 = f"""
+WITH page AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha
+    FROM pages),
+digest AS (SELECT page_id, payload_bytes, {_BASE32} AS payload_digest FROM page),
+last AS (SELECT payload_digest, payload_bytes, max(page_id) AS response FROM digest GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < response THEN response END AS refers_to
+FROM digest JOIN last USING (payload_digest, payload_bytes)
+"""
+
 _STRICT = ["porn", "xxx", "hentai", "escort", "camgirl", "warez", "viagra", "cialis"]
 _SOFT = [
     "adult", "sex", "nude", "dating", "casino", "poker", "bet", "betting", "slots", "jackpot",
@@ -131,5 +148,6 @@ SQL: dict[str, str] = {
     "op1_secrets": OP1,
     "op2_jaccard_join": OP2,
     "op4_decontamination": OP4,
+    "op5_warc": OP5,
     "op6_urls": OP6,
 }
