@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, secrets, toxicity, urls, warc
+from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, pii, secrets, toxicity, urls, warc
 from bandwright.sources.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,15 @@ def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages").select("page_id", "url")).drop("url")
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.annotate(docs, pii.train(docs))
+    return found.select(
+        "doc_id", *[F.size(_of_kinds("base_spans", k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     weights = toxicity.train(docs, _table(spark, folder, "labels"))
@@ -102,6 +111,7 @@ REGISTRY: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_urls": op6_urls,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
