@@ -16,8 +16,11 @@ RADIUS. Equal sets are one node from the start. Then:
    RADIUS are linked: a ball around a pivot is one component without any further pair.
 3. Windows. Members that are not in the region's main component form the Voronoi cells
    of their nearest pivots p. By the triangle inequality such a member x can only link to
-   members y with |d(x, p) - d(y, p)| <= RADIUS, and a pair in one component needs no link;
-   the remaining pairs are computed. Every pair that links is thus met or already joined.
+   members y with |d(x, p) - d(y, p)| <= RADIUS, and a pair in one component needs no link.
+   Strays and members are dealt out in blocks; a second metric, the Hamming distance of
+   parity sketches, never exceeds the size of the symmetric difference and rules out most
+   pairs in the block. The whole sets of the pairs that remain are compared. Every pair
+   that links is thus met or already joined.
 
 Sets are compared by 64-bit shingle hashes, within a pair only, and a node's id is a 64-bit
 hash of its set: two different sets or two shingles are confused with probability 2**-64.
@@ -50,6 +53,7 @@ MAX_FREQUENT = 1 << 20
 MAX_BITS = 28
 GROUP = 1 << 21
 FLUSH = 1 << 21
+BLOCK = 1024
 _TURN = 0x3333333333333333
 
 
@@ -203,14 +207,14 @@ def _counts(n: int, more) -> np.ndarray:
 
 
 def homes(docs: DataFrame, text: str, width: int, known: Order) -> DataFrame:
-    """(node, n, firsts, own) for every row with a region to be in: its regions' shingles
-    and its whole set. A task sends each of its different sets once."""
+    """(node, n, firsts, own, sketch) for every row with a region to be in: its regions'
+    shingles, its whole set and its sketch. A task sends each of its different sets once."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, sent = shared.value, set()
         for batch in batches:
-            out = {"node": [], "n": [], "firsts": [], "own": []}
+            out = {"node": [], "n": [], "firsts": [], "own": [], "sketch": []}
             for own in _sets(plain(batch.column(0)), width):
                 n = len(own)
                 need = n - -(-SHARE[1] * n // SHARE[0]) + 1
@@ -229,15 +233,17 @@ def homes(docs: DataFrame, text: str, width: int, known: Order) -> DataFrame:
                 out["n"].append(n)
                 out["firsts"].append(firsts.view(np.int64))
                 out["own"].append(own.tobytes())
+                out["sketch"].append(sketch(own).tobytes())
             yield pa.record_batch(
                 {
                     "node": pa.array(out["node"], pa.int64()), "n": pa.array(out["n"], pa.int64()),
                     "firsts": pa.array(out["firsts"], pa.list_(pa.int64())), "own": pa.array(out["own"], pa.binary()),
+                    "sketch": pa.array(out["sketch"], pa.binary()),
                 }
             )
 
     return docs.select(F.col(text).alias("text")).mapInArrow(
-        run, "node bigint, n bigint, firsts array<bigint>, own binary"
+        run, "node bigint, n bigint, firsts array<bigint>, own binary, sketch binary"
     )
 
 
@@ -275,7 +281,7 @@ def _ordered(x: str, y: str) -> list[Column]:
 def links(docs: DataFrame, text: str, width: int, total: int) -> DataFrame:
     """Pairs of nodes (a, b) that link, enough of them to join all that links join."""
     found = written(homes(docs, text, width, order(docs, text, width, total)), "homes")
-    sets = written(found.groupBy("node").agg(F.min("own").alias("own")), "sets")
+    sets = written(found.groupBy("node").agg(F.min("own").alias("own"), F.min("sketch").alias("sketch")), "sets")
     rows = written(
         found.select("node", "n", F.explode("firsts").alias("s")).distinct(), "regions"
     )
@@ -296,38 +302,118 @@ def links(docs: DataFrame, text: str, width: int, total: int) -> DataFrame:
     sure = distances.where(_linked()).select("a", "b")
     labels = components(sure)
 
-    d = 1 - F.col("common") / F.col("either")
-    to_pivot = distances.select(F.col("a").alias("node"), F.col("b").alias("p"), d.alias("d")).union(
-        distances.select("b", "a", d)
-    )
     labelled = written(
         members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"
     )
     counts = labelled.groupBy("s", "label").agg(F.count("*").alias("k"))
     main = counts.groupBy("s").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("parts"))
     open_regions = main.where("parts > 1").select("s", F.col("most.label").alias("main"))
-    unsettled = labelled.join(open_regions, "s")
-    strays = unsettled.where("label <> main").select(
-        "s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), "main",
-        F.explode(F.array_distinct(F.array(*pivots))).alias("p"),
-    )
-    cells = strays.join(to_pivot.withColumnRenamed("node", "x"), ["x", "p"]).groupBy("s", "x", "nx", "lx", "main").agg(
-        F.min(F.struct("d", "p")).alias("home")
-    ).select("s", "x", "nx", "lx", "main", F.col("home.d").alias("dx"), F.col("home.p").alias("p"))
-    others = unsettled.select("s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"),
-                              F.explode(F.array_distinct(F.array(*pivots))).alias("p"))
-    others = others.where("y <> p").join(to_pivot.withColumnRenamed("node", "y").withColumnRenamed("d", "dy"), ["y", "p"])
-    radius = 1 - SHARE[1] / SHARE[0] + 1e-9
-    near = (
-        (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y")))
-        & (F.abs(F.col("dx") - F.col("dy")) <= radius)
-        & (F.least("nx", "ny") * SHARE[0] >= F.greatest("nx", "ny") * SHARE[1])
-    )
-    rest = cells.join(others.drop("main"), ["s", "p"]).where(near).select(*_ordered("x", "y")).distinct()
+    # A pivot's pairs are all measured.
+    unsettled = labelled.join(open_regions, "s").where(~F.col("node").isin(*map(F.col, pivots)))
+    rest = _windows(unsettled, distances, sets, pivots)
     rest = rest.join(distances.select("a", "b"), ["a", "b"], "left_anti")
     return sure.union(measured(rest, sets).where(_linked()).select("a", "b"))
 
 
+def _windows(unsettled: DataFrame, distances: DataFrame, sets: DataFrame, pivots: list[str]) -> DataFrame:
+    """Pairs (a, b) of a region's stray and another of its members that may link.
+
+    A task compares a block of strays with a block of members and returns only the pairs
+    that the windows and the sketches leave.
+    """
+    d = (1 - F.col("common") / F.col("either")).alias("d")
+    spokes = unsettled.select("s", "node", F.posexplode(F.array(*pivots)).alias("i", "p"))
+    spokes = spokes.select("s", "node", "i", *_ordered("node", "p")).join(distances.select("a", "b", d), ["a", "b"])
+    reach = spokes.groupBy("s", "node").agg(*[F.max(F.when(F.col("i") == i, F.col("d"))).alias(f"d{i}") for i in range(len(pivots))])
+    stray = F.col("label") != F.col("main")
+    size = unsettled.groupBy("s").agg(F.count("*").alias("m"), F.count_if(stray).alias("k")).where("k > 0 and m > 1")
+    rows = unsettled.drop(*pivots, "size").join(reach, ["s", "node"]).join(size, "s")
+    rows = rows.join(sets.select("node", "sketch"), "node")
+    blocks = {"m": F.ceil(F.col("m") / BLOCK).cast("int"), "k": F.ceil(F.col("k") / BLOCK).cast("int")}
+    own = {name: F.pmod(F.xxhash64("node"), n).cast("int") for name, n in blocks.items()}
+    columns = ["s", "i", "j", "stray", "node", "n", "label", "main", *[f"d{i}" for i in range(len(pivots))], "sketch"]
+    strays = rows.where(stray).withColumns({"stray": F.lit(True), "i": own["k"]})
+    strays = strays.withColumn("j", F.explode(F.sequence(F.lit(0), blocks["m"] - 1)))
+    others = rows.withColumns({"stray": F.lit(False), "j": own["m"]})
+    others = others.withColumn("i", F.explode(F.sequence(F.lit(0), blocks["k"] - 1)))
+    both = strays.select(columns).union(others.select(columns))
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(parts, "s", "i", "j").sortWithinPartitions("s", "i", "j")
+    return dealt.mapInArrow(_compare, "a bigint, b bigint").distinct()
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = [held[c].to_numpy() for c in ("s", "i", "j")]
+        cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+        cuts = [0, *cuts.tolist()]
+        pairs = [_near(held.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        held = held.slice(cuts[-1])
+        yield _pairs(pairs)
+    if held is not None:
+        yield _pairs([_near(held)])
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.concatenate([np.empty((0, 2), np.int64), *found])
+    return pa.record_batch({"a": pa.array(found.min(axis=1, initial=2**63 - 1)), "b": pa.array(found.max(axis=1, initial=-2**63))})
+
+
+def _near(group: pa.Table) -> np.ndarray:
+    """Pairs of one block of strays and one of members that may link."""
+    stray = group["stray"].to_numpy()
+    if not stray.any() or stray.all():
+        return np.empty((0, 2), np.int64)
+    node, n, label, main = (group[c].to_numpy() for c in ("node", "n", "label", "main"))
+    d = np.stack([group[c].to_numpy() for c in group.column_names if c in ("d0", "d1", "d2", "d3")])
+    sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["sketch"]]
+    width = np.array([len(x) for x in sketches])
+    others = np.flatnonzero(~stray)
+    classes = {w: others[width[others] == w] for w in set(width[others].tolist())}
+    matrices = {w: np.stack([sketches[y] for y in rows]) for w, rows in classes.items()}
+    radius = 1 - SHARE[1] / SHARE[0] + 1e-9
+    out = []
+    for x in np.flatnonzero(stray):
+        for w, rows in classes.items():
+            keep = (label[rows] != label[x]) & ((label[rows] == main[x]) | (node[x] < node[rows]))
+            keep &= np.minimum(n[rows], n[x]) * SHARE[0] >= np.maximum(n[rows], n[x]) * SHARE[1]
+            # The Voronoi cell of x is its nearest pivot's; a partner lies in the window.
+            home = int(np.argmin(d[:, x]))
+            keep &= np.abs(d[home, rows] - d[home, x]) <= radius
+            if not keep.any():
+                continue
+            narrow = min(w, width[x])
+            apart = np.bitwise_count(fold(matrices[w][keep], narrow) ^ fold(sketches[x], narrow)).sum(axis=1)
+            # Sketches are no further apart than the sets; linked sets are no further apart than this.
+            most = (n[rows[keep]] + n[x]) * (SHARE[0] - SHARE[1])
+            close = rows[keep][apart.astype(np.int64) * (SHARE[0] + SHARE[1]) <= most]
+            if len(close):
+                out.append(np.stack([np.full(len(close), node[x]), node[close]], axis=1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the set's hashes in at least four times as many bits as it has members.
+
+    A member changes one bit, so that two sketches differ in at most as many bits as the
+    sets do in members.
+    """
+    bits = max(256, 1 << (4 * len(own) - 1).bit_length())
+    parity = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """The same sketches in fewer bits."""
+    while sketches.shape[-1] > words:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, n_shingles, component_id) per row; component_id: the least key reachable by links."""
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
