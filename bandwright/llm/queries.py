@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, pii, secrets, toxicity, urls, warc
+from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, licenses, pii, secrets, toxicity, urls, warc
 from bandwright.sources.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages").select("page_id", "url")).drop("url")
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "n_matches", "license", "dice")
+
+
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     found = pii.annotate(docs, pii.train(docs))
@@ -111,6 +116,7 @@ REGISTRY: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_urls": op6_urls,
+    "op7_licenses": op7_licenses,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,

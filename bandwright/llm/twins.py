@@ -144,10 +144,64 @@ SELECT *, CASE
 FROM ruled
 """
 
+# The notices of licenses.py.
+_NOTICES = {
+    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "apache-2.0-header": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in"
+        " compliance with the License. You may obtain a copy of the License at"
+    ),
+    "bsd-3-clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
+        " option) any later version."
+    ),
+    "mit": "Released under the MIT License.",
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was"
+        " not distributed with this file, You can obtain one at"
+    ),
+}
+_NOTICE_ROWS = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in _NOTICES.items())
+
+
+def _words(text: str) -> str:
+    return f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+
+
+_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+OP7 = f"""
+WITH template AS (
+    SELECT name, {_PAIRS} AS b FROM (SELECT name, {_words("body")} AS w FROM (VALUES {_NOTICE_ROWS}) t(name, body))),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents),
+unit AS (
+    SELECT doc_id, unit FROM line
+    UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
+paired AS (SELECT doc_id, {_PAIRS} AS a FROM (SELECT doc_id, {_words("unit")} AS w FROM unit)),
+compared AS (
+    SELECT doc_id, row_number() OVER () AS u, a FROM paired WHERE len(a) > 0),
+best AS (
+    SELECT doc_id, u, name, 2 * len(list_intersect(a, b))::DOUBLE / (len(a) + len(b)) AS dice
+    FROM compared, template
+    WHERE 2 * least(len(a), len(b)) >= 0.8 * (len(a) + len(b))
+    QUALIFY row_number() OVER (PARTITION BY u ORDER BY dice DESC, name) = 1),
+found AS (
+    SELECT doc_id, count(*) AS n_matches, arg_min(name, (-dice, name)) AS license, max(dice) AS dice
+    FROM best WHERE dice >= 0.8 GROUP BY doc_id)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, license, dice FROM documents LEFT JOIN found USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op1_secrets": OP1,
     "op2_jaccard_join": OP2,
     "op4_decontamination": OP4,
     "op5_warc": OP5,
     "op6_urls": OP6,
+    "op7_licenses": OP7,
 }
