@@ -38,7 +38,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwright.llm.components import components
@@ -429,3 +429,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     joined = placed.join(names, "label").select("key", "n_shingles", "component_id")
     alone = nodes.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id"))
     return joined.union(alone).withColumnRenamed("key", key)
+
+
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """`docs` with one row of each component, that of the least key; of rows with this key
+    the one with the least text. Rows without a key stay."""
+    found = join(docs, key, text, width)
+    firsts = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
+    kept = docs.join(firsts, F.col(key) == F.col("_first"), "left_semi")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(text))
+    kept = kept.withColumn("_place", place).where("_place = 1").drop("_place")
+    return kept.union(docs.where(F.col(key).isNull()))

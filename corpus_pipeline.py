@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bandwright.llm import decontaminate, toxicity
+from bandwright.llm import decontaminate, jaccard, pii, toxicity
+from bandwright.llm.queries import token_digests, vocabulary_path
 from bandwright.sources.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,14 +23,32 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every group that links of five-word shingles join."""
+    return jaccard.first_of_groups(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth lie in benchmark windows."""
     return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their spans of personal data replaced by the kind in brackets."""
+    return pii.redact(docs, pii.train(docs)).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return token_digests(docs, vocabulary_path())
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("tokens", tokens),
 ]
 
 # Learned scores and token ids have no SQL form; tests compare with brute force.
