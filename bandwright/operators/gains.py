@@ -47,9 +47,12 @@ def gains_table(
     beyond 1000, missing) are counted in one row with a null band, and every
     band is listed even when empty.
 
+    Quantiles are those of the raw scores; only their outer edges are replaced, so
+    that scores beyond the domain still move the inner edges they should.
+
     Rows are reduced to a histogram over (segment memberships, sample, score)
-    before anything is repeated per segment or sample. Whole scores give at most
-    1,003 points each; fractional ones are snapped to the exact edges first.
+    before anything is repeated per segment or sample. Whole scores give one point
+    per different score; fractional ones are snapped to the exact edges first.
     """
     named = dict(scores) if isinstance(scores, Mapping) else {s: s for s in scores}
     segments = list(segments)
@@ -59,13 +62,14 @@ def gains_table(
     flagged = df.select(
         F.col(sample).alias("sample"), F.col(target).alias("__y"),
         *[F.coalesce(s.condition, F.lit(False)).alias(f) for s, f in zip(segments, flags)],
-        *[_in_domain(named[n]).alias(c) for n, c in columns.items()],
+        *[finite(named[n]).alias(c) for n, c in columns.items()],
     )
     steps = [i / q for i in range(q + 1)]
     if raw:
         edges = _quantile_edges(flagged, columns, segments, flags, baseline, steps)
         for name, column in columns.items():
             cuts = {e for r in edges if r[1] == name for e in r[2]}
+            flagged = flagged.withColumn(column, _in_domain(column))
             flagged = snap_up(flagged, column, [DOMAIN[0] - 1, *DOMAIN, *cuts])
             flagged = flagged.withColumn(column, F.least(F.col(column), F.lit(DOMAIN[1] + 1.0)))
         hist = _per_segment(_histogram(flagged, columns, flags), segments, flags)
@@ -92,7 +96,7 @@ def gains_table(
 
 def _in_domain(column: str) -> Column:
     """The score, with everything below 0 as -1 and beyond 1000 as 1001."""
-    x = finite(column)
+    x = F.col(column)
     low, high = DOMAIN
     return F.when(x < low, low - 1.0).when(x > high, high + 1.0).otherwise(x)
 

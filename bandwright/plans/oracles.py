@@ -448,8 +448,7 @@ def gains(source: str, scores: dict[str, str], segments: dict[str, str] | None =
     groups = {"all": "TRUE", **(segments or {})}
     rows = union(
         [
-            f"""SELECT '{s}' AS segment, '{n}' AS score_name, sample, bad,
-  CASE WHEN {c} < 0 THEN -1 WHEN {c} > 1000 THEN 1001 ELSE {c} END::DOUBLE AS x FROM {source} WHERE {cond}"""
+            f"""SELECT '{s}' AS segment, '{n}' AS score_name, sample, bad, ({c})::DOUBLE AS x FROM {source} WHERE {cond}"""
             for s, cond in groups.items()
             for n, c in scores.items()
         ]

@@ -167,3 +167,16 @@ def test_append_fills_absent_columns(spark):
     b = spark.createDataFrame([("2",)], "safra string")
     out = monitoring.append_frames(a, b, ["cls", "safra"])
     assert sorted(map(tuple, out.collect()), key=str) == [("x", "1"), (None, "2")] or out.count() == 2
+
+
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_scores_beyond_the_domain_move_the_inner_edges(spark, kind):
+    """Quantiles of the raw scores; only the outer edges are the domain's."""
+    scores = [*range(100, 701, 100), 990, 1500, 2000]
+    rows = [("dev", i % 2, s) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "sample string, bad int, score int")
+    df = df.withColumn("score", F.col("score").cast(kind))
+    found = gains.gains_table(df, "bad", ["score"]).where("band is not null").orderBy("band").collect()
+    raw = np.quantile(scores, [i / 10 for i in range(1, 10)])
+    inner = [round(float(e), 2) for e in raw if 0 < e < 1000]
+    assert [r["range"].strip("()").split("-")[0] for r in found][1:] == [str(e) for e in inner]
