@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwright.functions.columns import join_back, unpivot
+from bandwright.operators.quantiles import medians
 from bandwright.operators.screening import value_counts
 
 # Levels per fit held as plain parameters of the model; encoding a column with
@@ -66,6 +67,39 @@ def encode_by_join(df: DataFrame, levels: DataFrame, columns: Sequence[str], suf
     return df
 
 
+class MedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Learns the exact median of the finite values of each column."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> MedianModel:
+        columns = self.getInputCols()
+        return MedianModel(inputCols=columns, outputCols=self.getOutputCols(), values=medians(dataset, columns))
+
+
+class MedianModel(Model, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Puts the median in place of null and NaN; a column without a median stays as it is."""
+
+    values = Param(Params._dummy(), "values", "median by column")
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None, values=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        values = self.getOrDefault("values")
+
+        def filled(c: str) -> Column:
+            x = F.col(c).cast("double")
+            return F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(values.get(c)).cast("double"))
+
+        return dataset.withColumns({out: filled(c) for c, out in zip(self.getInputCols(), self.getOutputCols())})
+
+
 class _WoeParams(HasInputCols, HasOutputCols, HasLabelCol):
     smoothing = Param(
         Params._dummy(), "smoothing", "added to every count", typeConverter=TypeConverters.toFloat
@@ -158,7 +192,8 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, target: str, output: str = "weight") -> DataFrame:
     weights = {r[target]: r["weight"] for r in class_weights(df, target).collect()}
-    case = F.lit(None).cast("double")
+    # A class that the fit has not seen weighs as an average row.
+    case = F.when(F.col(target).isNotNull(), F.lit(1.0))
     for value, weight in weights.items():
         case = F.when(F.col(target) == value, F.lit(weight)).otherwise(case)
     return df.withColumn(output, case)

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.columns import chunks, join_back, share, unpivot
 
-# A pivot is a report: one column per value.
-MAX_PIVOT = 1_000
-
 
 def cohort_shares(df: DataFrame, cohort: str, columns: Sequence[str]) -> DataFrame:
     """(cohort, variable, value, n, pct) with pct over the cohort's non-null values.
@@ -39,14 +36,12 @@ def with_share(tally: DataFrame, keys: Sequence[str]) -> DataFrame:
 def wide_shares(
     shares: DataFrame, cohort: str, variable: str, values: Sequence[str] | None = None
 ) -> DataFrame:
-    """Cohort rows by value columns for one variable; absent pairs are null."""
+    """Cohort rows by value columns for one variable; absent pairs are null.
+
+    Without `values` Spark finds them, up to its own spark.sql.pivotMaxValues.
+    """
     one = shares.filter(F.col("variable") == variable)
-    if values is None:
-        found = one.select("value").distinct().orderBy("value").take(MAX_PIVOT + 1)
-        if len(found) > MAX_PIVOT:
-            raise ValueError(f"{variable} has too many values for a wide report")
-        values = [r["value"] for r in found]
-    return one.groupBy(cohort).pivot("value", list(values)).agg(F.first("pct"))
+    return one.groupBy(cohort).pivot("value", list(values) if values else None).agg(F.first("pct"))
 
 
 def class_cube(df: DataFrame, cohort: str, columns: Sequence[str]) -> DataFrame:

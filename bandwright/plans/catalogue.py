@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bandwright.functions import presets
-from bandwright.functions.banding import Bands, Groups, with_classes
+from bandwright.functions.banding import with_classes
 from bandwright.functions.columns import INF
 from bandwright.functions.text import group_by_dictionary, keep_listed, with_first_contained
 from bandwright.operators import (
@@ -20,9 +20,10 @@ from bandwright.operators import (
 from bandwright.operators.quantiles import medians
 from bandwright.plans import flows
 from bandwright.plans.frames import (
-    BOOK, CATEGORICAL, FEATURES, cards, doc_panel, modelling, table,
+    BOOK, CATEGORICAL, FEATURES, cards, doc_panel, modelling, monitored, table,
 )
 from bandwright.plans.frames import panel as order_panel
+from bandwright.sources.model_store import load_newest, save_run
 from bandwright.sources.session import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,20 +69,23 @@ def dedup_lookup_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+LOG_KEYS = ["order_id", "consumer_id", "referenced_at"]
+
+
+def _production(spark: SparkSession, folder: str) -> DataFrame:
+    """Production variables of the last year joined with their score log on three keys."""
+    year = monitored(spark, folder).filter(F.col("ref_portfolio") == "2001")
+    log = year.filter(F.col("score_a") % 7 != 0).select(*LOG_KEYS, F.col("score_a").alias("score"))
+    return monitoring.production_frame(
+        year, log, LOG_KEYS, "score", "referenced_at", "2001-02-01",
+        presets.monitoring_classes("score", "others"),
+    )
+
+
 @query
 def score_log_join(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").withColumn("referenced_at", F.date_format("ts", "yyyy-MM-dd"))
-    keys = ["user_id", "referenced_at"]
-    variables = events.groupBy(*keys).agg(F.sum("value").alias("value"))
-    log = (
-        events.filter(F.col("event_type") == "purchase")
-        .groupBy(*keys)
-        .agg(F.floor(F.sum("value")).cast("int").alias("score"))
-    )
-    joined = monitoring.production_frame(
-        variables, log, keys, "score", "referenced_at", "2024-01-08", []
-    )
-    return rounded(joined, 4)
+    """The joined rows with their cohort and all fifteen classes."""
+    return _production(spark, folder).select(*LOG_KEYS, "score", "safra", *CLASSES)
 
 
 @query
@@ -216,20 +220,13 @@ def median_mode_impute(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows.fillna({"am_avg_a": middle, "segment": common}))
 
 
-CLASS_SPECS = [
-    presets.score_bands("score_a", "class_score_a"),
-    presets.bureau_bands("score_b", "class_score_b"),
-    presets.money_bands("am_min_a", "class_am_min_a"),
-    presets.issuer_count_bands("ct_tot_a", "class_ct_tot_a"),
-    presets.age_bands("ct_tot_n", "class_ct_tot_n"),
-    Groups("region", "class_region", {"Norte": ("EUROPE", "ASIA")}, default=None),
-]
+CLASSES = [spec.output for spec in presets.monitoring_classes("score_a")]
 
 
 @query
 def class_bands(spark: SparkSession, folder: str) -> DataFrame:
-    marked = with_classes(modelling(spark, folder), CLASS_SPECS)
-    return shares.class_cube(marked, "ref_portfolio", [s.output for s in CLASS_SPECS])
+    marked = with_classes(monitored(spark, folder), presets.monitoring_classes("score_a"))
+    return shares.class_cube(marked, "ref_portfolio", CLASSES)
 
 
 @query
@@ -355,7 +352,7 @@ def select_features(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def boruta(spark: SparkSession, folder: str) -> DataFrame:
     return allrelevant.all_relevant(
-        _dev(spark, folder), "bad", SCORES + BOOK[:4], CATEGORICAL, ["order_id"], iterations=10, trees=20
+        _dev(spark, folder), "bad", FEATURES, CATEGORICAL, ["order_id"], fit_rows=FIT_ROWS
     )
 
 
@@ -389,32 +386,61 @@ def class_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- models ---------------------------------------------------------------------------------
 
-SMALL = {"gbt": {"maxIter": 10}, "rf": {"numTrees": 20}}
+# Labelled rows that the all-relevant search and each trial of a search are fitted on at most.
+FIT_ROWS = 4_000
+FINALISTS = [models.QUICK_FOREST, *models.FINALISTS]
+_stores: dict[tuple[str, str], str] = {}
 
 
 def _kept(spark: SparkSession, folder: str) -> DataFrame:
     return modelling(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _report(rows: DataFrame, used: DataFrame) -> DataFrame:
-    """A report-sized result, computed before its cached input is released."""
-    local = rows.collect()
-    used.unpersist()
-    return rows.sparkSession.createDataFrame(local, rows.schema)
+def _report(found: Callable[[], DataFrame], used: DataFrame) -> DataFrame:
+    """A report-sized result; its cached input is released whether it succeeds or not."""
+    try:
+        rows = found()
+        local = rows.collect()
+        return rows.sparkSession.createDataFrame(local, rows.schema)
+    finally:
+        used.unpersist()
 
 
-def _chosen(df: DataFrame, **override):
-    dev = df.filter(F.col("sample") == "dev")
-    return models.fit(dev, "bad", FEATURES, CATEGORICAL, models.CHOSEN, **{**SMALL["gbt"], **override})
+def _store(spark: SparkSession, folder: str) -> str:
+    """Where the finalists of these tables are saved; fitted once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stores:
+        store = scratch_path(spark, "models")
+        dev = _kept(spark, folder).filter(F.col("sample") == "dev")
+        for name, model in models.fit_all(dev, "bad", FEATURES, CATEGORICAL, FINALISTS).items():
+            save_run(spark, model, store, name)
+        _stores[key] = store
+    return _stores[key]
+
+
+def _chosen(spark: SparkSession, folder: str):
+    return load_newest(spark, _store(spark, folder), models.CHOSEN.name)
 
 
 @query
 def fit_compare(spark: SparkSession, folder: str) -> DataFrame:
+    store = _store(spark, folder)
+    fitted = {c.name: load_newest(spark, store, c.name) for c in FINALISTS}
     df = _kept(spark, folder)
-    dev = df.filter(F.col("sample") == "dev")
-    finalists = [models.QUICK_FOREST, *models.FINALISTS]
-    fitted = models.fit_all(dev, "bad", FEATURES, CATEGORICAL, finalists, SMALL)
-    return _report(rounded(models.compare(df, fitted, "bad", FEATURES)), df)
+    return _report(lambda: rounded(models.compare(df, fitted, "bad", FEATURES)), df)
+
+
+@query
+def tuned_compare(spark: SparkSession, folder: str) -> DataFrame:
+    """The winners of the forest and first boosting searches."""
+    df = _kept(spark, folder)
+
+    def found() -> DataFrame:
+        dev = df.filter(F.col("sample") == "dev")
+        fitted = models.fit_all(dev, "bad", FEATURES, CATEGORICAL, models.TUNED)
+        return rounded(models.compare(df, fitted, "bad", FEATURES))
+
+    return _report(found, df)
 
 
 @query
@@ -424,45 +450,43 @@ def feature_ablation(spark: SparkSession, folder: str) -> DataFrame:
         "internal": (["score_a", *BOOK], CATEGORICAL),
         "internal_and_bureau": (["score_a", "score_b", *BOOK], CATEGORICAL),
     }
-    return _report(rounded(models.ablation(df, "bad", sets, **SMALL["gbt"])), df)
+    return _report(lambda: rounded(models.ablation(df, "bad", sets)), df)
 
 
 @query
 def search_trials(spark: SparkSession, folder: str) -> DataFrame:
     df = _kept(spark, folder)
-    space = {"numTrees": search.whole(10, 30, 10)}
-    found = search.search(df, "bad", FEATURES, CATEGORICAL, "rf", trials=4, space=space)
-    return _report(found, df)
+    return _report(lambda: search.search(df, "bad", FEATURES, CATEGORICAL, "rf", fit_rows=FIT_ROWS), df)
 
 
 @query
 def importance(spark: SparkSession, folder: str) -> DataFrame:
-    df = _kept(spark, folder)
-    return _report(models.importances(_chosen(df)), df)
+    return models.importances(_chosen(spark, folder))
 
 
 @query
 def attribution_(spark: SparkSession, folder: str) -> DataFrame:
-    df = _kept(spark, folder)
-    model = _chosen(df)
+    model = _chosen(spark, folder)
     explained = attribution.attributions(
-        df.filter(F.col("sample") == "dev"), model, FEATURES, ["order_id"]
+        modelling(spark, folder).filter(F.col("sample") == "dev"), model, FEATURES, ["order_id"]
     )
-    return _report(attribution.mean_absolute(explained, attribution.input_names(model)), df)
+    return attribution.mean_absolute(explained, attribution.input_names(model))
 
 
 @query
 def reload_parity(spark: SparkSession, folder: str) -> DataFrame:
     df = _kept(spark, folder)
     store = scratch_path(spark, "models")
-    return _report(flows.reload_check(df, _chosen(df), store, "order_score", FEATURES), df)
+    return _report(
+        lambda: flows.reload_check(df, _chosen(spark, folder), store, "order_score", FEATURES), df
+    )
 
 
 @query
 def score_population(spark: SparkSession, folder: str) -> DataFrame:
-    # The assembled table is written, as the study does, then trained on and scored.
+    # The assembled table is written, as the study does, then scored.
     df = written(modelling(spark, folder), "modelling")
-    model = _chosen(df)
+    model = _chosen(spark, folder)
     rules = [("01. Out of range", (F.col("score_b") < 18) | (F.col("score_b") > 900))]
     base = panel.exclude(df, rules, "exclusao")
     keep = ["order_id", "consumer_id", "ref_portfolio", "sample", "bad", "exclusao"]
@@ -577,20 +601,18 @@ def segment_gains(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- monitoring -----------------------------------------------------------------------------
 
-VALUE_BANDS = Bands(
-    "value", "class_value", (10, 50, 100, None), ("1. to 10", "2. to 50", "3. to 100", "4. over"),
-    "9. other", low=0, low_closed=False,
-)
+def _baseline(spark: SparkSession, folder: str) -> DataFrame:
+    """The scored panel without production exclusions, with cohort label and classes."""
+    rules = panel.production_exclusions(
+        "score_b", presets.SCORE_CUT, "score_a", (18, 900), ("01. Score <= 360", "02. Out of range")
+    )
+    return monitoring.baseline_frame(
+        monitored(spark, folder), rules, presets.monitoring_classes("score_a"), "ref_portfolio", "2001"
+    )
 
 
 def _drift(spark: SparkSession, folder: str):
-    events = table(spark, folder, "events").withColumn("week", F.weekofyear("ts"))
-    marked = with_classes(events, [VALUE_BANDS])
-    baseline = marked.filter(F.col("week") == 1).withColumn("cohort", F.lit("baseline"))
-    production = marked.filter(F.col("week") > 1).withColumn(
-        "cohort", F.concat(F.lit("week "), F.lpad(F.col("week").cast("string"), 2, "0"))
-    )
-    return flows.drift_report(baseline, production, ["class_value", "event_type"], "cohort", "baseline")
+    return flows.drift_report(_baseline(spark, folder), _production(spark, folder), CLASSES, "safra", "Baseline")
 
 
 @query
@@ -605,11 +627,4 @@ def psi(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def baseline_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Production exclusions, cohort label and classes of the scored panel."""
-    rules = panel.production_exclusions(
-        "score_b", presets.SCORE_CUT, "score_a", (18, 900), ("01. Score <= 360", "02. Out of range")
-    )
-    frame = monitoring.baseline_frame(
-        order_panel(spark, folder), rules, CLASS_SPECS[:2], "ref_portfolio", "2001"
-    )
-    return rounded(monitoring.class_distribution(frame, "safra", ["class_score_a", "class_score_b"]))
+    return rounded(monitoring.class_distribution(_baseline(spark, folder), "safra", CLASSES))

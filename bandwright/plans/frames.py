@@ -73,6 +73,40 @@ def modelling(spark: SparkSession, folder: str) -> DataFrame:
     return star_assembly(panel(spark, folder), [Satellite(book(spark, folder), ("order_id",))])
 
 
+STATES = ("AC", "PA", "BA", "CE", "MG", "RJ", "SP", "PR", "RS", "DF")
+ISSUERS = ("nubank", "itau", "nu pagamentos sa", "vazio", "santander", "bradesco", "Outros", "banco original")
+BRANDS = ("samsung", "motorola", "iphone", "nokia", "xiaomi", "lg", "asus")
+MAILS = ("gmail", "hotmail", "uol", "outlook", "yahoo", "Outros/Erro")
+
+
+def monitored(spark: SparkSession, folder: str) -> DataFrame:
+    """The modelling frame with the inputs of the fifteen monitoring classes.
+
+    Amounts, counts and scores are the book's and the panel's; what the tables lack
+    (age, tenure, states, brands) is derived from the keys.
+    """
+    dates = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("referenced_at")
+    )
+    df = star_assembly(modelling(spark, folder), [Satellite(dates, ("order_id",))])
+
+    def picked(values: tuple[str, ...], key: str):
+        return F.array(*map(F.lit, values))[(F.col(key) % len(values)).cast("int")]
+
+    return df.withColumns(
+        {
+            "HSPA": F.col("score_b"), "idade_em_anos": (F.col("consumer_id") % 85 + 12).cast("int"),
+            "ddd_state": picked(STATES, "consumer_id"), "tempo_registro_em_meses": F.col("consumer_id") % 50,
+            "days_since_last_transaction": F.when(F.col("order_id") % 9 != 0, F.col("order_id") % 800),
+            "agrupamento_instituicao_cartao_ref": picked(ISSUERS, "order_id"),
+            "am_max_pay_12m_trx": F.col("am_max_a") / 500, "modelo_celular_ref": picked(BRANDS, "order_id"),
+            "mental_accounting_score": F.col("score_b") % 101, "peer_effect_score": F.col("score_a") % 101,
+            "email_ajuste": picked(MAILS, "consumer_id"), "am_max_recp2p_12m_trx": F.col("am_max_n") / 500,
+            "qtde_emissores_distintos": F.col("ct_tot_r"), "am_max_payp2pbal_12m_trx": F.col("am_max_r") / 500,
+        }
+    )
+
+
 def doc_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with nullable outcome columns."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")

@@ -80,14 +80,6 @@ FROM orders LEFT JOIN (
     row_number() OVER (PARTITION BY l_orderkey
       ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
   FROM lineitem) f ON o_orderkey = l_orderkey AND rn = 1"""
-SQL["score_log_join"] = f"""
-WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS referenced_at FROM events),
-v AS (SELECT user_id, referenced_at, sum(value) AS value FROM e GROUP BY ALL),
-s AS (SELECT user_id, referenced_at, CAST(floor(sum(value)) AS INTEGER) AS score FROM e
-  WHERE event_type = 'purchase' GROUP BY ALL)
-SELECT v.user_id, v.referenced_at, {r('value', 4)} AS value, score, substr(v.referenced_at, 1, 7) AS safra
-FROM v LEFT JOIN s ON v.user_id = s.user_id AND v.referenced_at = s.referenced_at
-WHERE score > 1 AND v.referenced_at >= '2024-01-08'"""
 SQL["exclusion_waterfall"] = f"""
 WITH {DOCS}, scored AS (
   SELECT *, least(CAST(floor(n_chars / 400) AS BIGINT), 999) AS score FROM docs
@@ -176,26 +168,99 @@ def band_case(x: str, uppers, labels, other: str, points=None, low=None, closed=
 
 
 _P = presets
-CLASSES = {
-    "class_score_a": band_case("score_a", _P.MODEL_SCORE_UPPERS, _P.MODEL_SCORE_LABELS, _P.OTHER),
-    "class_score_b": band_case("score_b", _P.BUREAU_SCORE_UPPERS, _P.BUREAU_SCORE_LABELS, _P.OTHER),
-    "class_am_min_a": band_case(
-        "am_min_a", _P.MONEY_UPPERS, _P.MONEY_LABELS, _P.OTHER, {0: "01. R$ 0"}, 0, False, None, "01. R$ 0"
-    ),
-    "class_ct_tot_a": band_case(
-        "ct_tot_a", (None,), ("03. Qtde >= 2",), _P.OTHER, {0: "01. Qtde = 0", 1: "02. Qtde = 1"}, 1,
-        False, None, "01. Qtde = 0",
-    ),
-    "class_ct_tot_n": band_case(
-        "ct_tot_n", _P.AGE_UPPERS, _P.AGE_LABELS, "999. Outros", None, 18, True, "99. Idade < 18 ou > 90"
-    ),
-    "class_region": "CASE WHEN region IN ('EUROPE', 'ASIA') THEN 'Norte' ELSE region END",
+def group_case(x: str, groups: dict[str, tuple[str, ...]], default: str | None, null: str | None = None) -> str:
+    """Lists of exact values; without a default a value passes through."""
+    whens = [f"WHEN {x} IS NULL THEN {'NULL' if (null or default) is None else chr(39) + (null or default) + chr(39)}"]
+    for label, values in groups.items():
+        listed = ", ".join(f"'{v}'" for v in values)
+        whens.append(f"WHEN {x} IN ({listed}) THEN '{label}'")
+    return f"CASE {' '.join(whens)} ELSE {x if default is None else chr(39) + default + chr(39)} END"
+
+
+def _money(x: str) -> str:
+    return band_case(x, _P.MONEY_UPPERS, _P.MONEY_LABELS, _P.OTHER, {0: "01. R$ 0"}, 0, False, None, "01. R$ 0")
+
+
+def _index(x: str, first: int) -> str:
+    labels = (f"02. 0 - {first}", f"03. {first} - 50", "04. > 50")
+    return band_case(x, (first, 50, None), labels, _P.OTHER, {0: "01. 0"}, 0, False, None, "01. 0")
+
+
+_BANKS = {
+    "caixa": ("caixa economica federal",), "bradesco": ("bradesco",), "nubank": ("nu pagamentos sa",),
+    "itau": ("itau",), "santander": ("santander",), "banco do brasil": ("banco do brasil",),
+    "banco original": ("banco original",), "vazio": ("vazio", "Outros"),
 }
-_marked = ", ".join(f"{case} AS {name}" for name, case in CLASSES.items())
+
+
+def classes(score: str, null_state: str | None = None) -> dict[str, str]:
+    """The fifteen monitoring classes over `monitored`."""
+    kept = lambda x, values: group_case(x, {v: (v,) for v in values}, "Outros")
+    return {
+        "classe_score": band_case(score, _P.MODEL_SCORE_UPPERS, _P.MODEL_SCORE_LABELS, _P.OTHER),
+        "classe_HSPA": band_case("HSPA", _P.BUREAU_SCORE_UPPERS, _P.BUREAU_SCORE_LABELS, _P.OTHER),
+        "classe_idade": band_case(
+            "idade_em_anos", _P.AGE_UPPERS, _P.AGE_LABELS, "999. Outros", None, 18, True, "99. Idade < 18 ou > 90"
+        ),
+        "classe_ddd_state": group_case("ddd_state", _P.STATE_REGIONS, None, null_state),
+        "classe_tempo_relacionamento": band_case(
+            "tempo_registro_em_meses", _P.TENURE_UPPERS, _P.TENURE_LABELS, _P.OTHER, None, 0, True, None,
+            _P.TENURE_LABELS[0],
+        ),
+        "classe_last_transaction": band_case(
+            "days_since_last_transaction", _P.RECENCY_UPPERS, _P.RECENCY_LABELS, _P.OTHER, {0: "01. 0 dias"}, 0,
+            False, None, "01. 0 dias",
+        ),
+        "classe_instituicao_cartao": group_case("agrupamento_instituicao_cartao_ref", _BANKS, "outras ifs", "vazio"),
+        "classe_am_max_pay_12m_trx": _money("am_max_pay_12m_trx"),
+        "classe_modelo_celular": kept("modelo_celular_ref", ("samsung", "motorola", "iphone", "xiaomi", "lg")),
+        "classe_mental_accounting_score": _index("mental_accounting_score", 10),
+        "classe_peer_effect_score": _index("peer_effect_score", 20),
+        "classe_email_ajuste": kept("email_ajuste", ("gmail", "hotmail", "outlook", "yahoo")),
+        "classe_am_max_recp2p_12m_trx": _money("am_max_recp2p_12m_trx"),
+        "classe_emissores_distintos": band_case(
+            "qtde_emissores_distintos", (None,), ("03. Qtde >= 2",), _P.OTHER, {0: "01. Qtde = 0", 1: "02. Qtde = 1"},
+            1, False, None, "01. Qtde = 0",
+        ),
+        "classe_am_max_payp2pbal_12m_trx": _money("am_max_payp2pbal_12m_trx"),
+    }
+
+
+def _picked(values: tuple[str, ...], key: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"([{listed}])[{key} % {len(values)} + 1]"
+
+
+MONITORED = MODELLING + f""",
+monitored AS (SELECT modelling.*, strftime(o_orderdate, '%Y-%m-%d') AS referenced_at, score_b AS HSPA,
+  consumer_id % 85 + 12 AS idade_em_anos,
+  {_picked(("AC", "PA", "BA", "CE", "MG", "RJ", "SP", "PR", "RS", "DF"), "consumer_id")} AS ddd_state,
+  consumer_id % 50 AS tempo_registro_em_meses,
+  CASE WHEN order_id % 9 <> 0 THEN order_id % 800 END AS days_since_last_transaction,
+  {_picked(("nubank", "itau", "nu pagamentos sa", "vazio", "santander", "bradesco", "Outros", "banco original"), "order_id")}
+    AS agrupamento_instituicao_cartao_ref,
+  am_max_a / 500 AS am_max_pay_12m_trx,
+  {_picked(("samsung", "motorola", "iphone", "nokia", "xiaomi", "lg", "asus"), "order_id")} AS modelo_celular_ref,
+  score_b % 101 AS mental_accounting_score, score_a % 101 AS peer_effect_score,
+  {_picked(("gmail", "hotmail", "uol", "outlook", "yahoo", "Outros/Erro"), "consumer_id")} AS email_ajuste,
+  am_max_n / 500 AS am_max_recp2p_12m_trx, ct_tot_r AS qtde_emissores_distintos,
+  am_max_r / 500 AS am_max_payp2pbal_12m_trx
+  FROM modelling JOIN orders ON o_orderkey = order_id)"""
+
+
+def _marked(found: dict[str, str]) -> str:
+    return ", ".join(f"{case} AS {name}" for name, case in found.items())
+
+
+CLASSES = classes("score_a")
 SQL["class_bands"] = f"""
-WITH {MODELLING}, marked AS (SELECT ref_portfolio, {_marked} FROM modelling),
+WITH {MONITORED}, marked AS (SELECT ref_portfolio, {_marked(CLASSES)} FROM monitored),
 l AS ({long('marked', list(CLASSES), 'ref_portfolio', value='class')})
 SELECT ref_portfolio, variable, class, count(*) AS n FROM l GROUP BY ALL"""
+PRODUCED = f"""produced AS (SELECT order_id, consumer_id, referenced_at, score_a AS score,
+    substr(referenced_at, 1, 7) AS safra, {_marked(classes('score_a', 'others'))}
+  FROM monitored WHERE ref_portfolio = '2001' AND score_a % 7 <> 0 AND score_a > 1 AND referenced_at >= '2001-02-01')"""
+SQL["score_log_join"] = f"WITH {MONITORED}, {PRODUCED} SELECT * FROM produced"
 SQL["integer_score"] = """
 SELECT CAST(trunc(((c_acctbal + 1000) / 11000) * 1000) AS INTEGER) AS score, 'm1' AS model_id, count(*) AS n
 FROM customer GROUP BY 1"""
@@ -535,32 +600,28 @@ UNION ALL {banded('score_a', _third, 3, 'm0', False)}"""
 
 # --- monitoring -----------------------------------------------------------------------------
 
-_value = band_case(
-    "value", (10, 50, 100, None), ("1. to 10", "2. to 50", "3. to 100", "4. over"), "9. other", None, 0, False
-)
-DRIFT = f"""marked AS (
-  SELECT CASE WHEN week(ts) = 1 THEN 'baseline' ELSE 'week ' || lpad(week(ts)::VARCHAR, 2, '0') END AS cohort,
-    {_value} AS class_value, event_type FROM events),
-dist AS (SELECT cohort, variable, value, count(*) AS n FROM ({long('marked', ['class_value', 'event_type'], 'cohort')})
+BASELINE = f"""baseline AS (SELECT CASE WHEN ref_portfolio = '2001' THEN 'Out-of-Time' ELSE 'Baseline' END AS safra,
+    {_marked(CLASSES)} FROM monitored WHERE ({PRODUCTION}) IS NULL)"""
+DRIFT = f"""{MONITORED}, {PRODUCED}, {BASELINE},
+marked AS (SELECT safra, {", ".join(CLASSES)} FROM baseline UNION ALL SELECT safra, {", ".join(CLASSES)} FROM produced),
+dist AS (SELECT safra, variable, value, count(*) AS n FROM ({long('marked', list(CLASSES), 'safra')})
   WHERE value IS NOT NULL GROUP BY ALL)"""
 SQL["append_distribution"] = f"""
-WITH {DRIFT} SELECT cohort, variable, value, n,
-  {r('n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY cohort, variable)')} AS pct FROM dist"""
+WITH {DRIFT} SELECT safra, variable, value, n,
+  {r('n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY safra, variable)')} AS pct FROM dist"""
 SQL["psi"] = f"""
-WITH {DRIFT}, g AS (SELECT c.cohort, v.variable, v.value FROM
-    (SELECT DISTINCT cohort, variable FROM dist WHERE cohort <> 'baseline') c
+WITH {DRIFT}, g AS (SELECT c.safra, v.variable, v.value FROM
+    (SELECT DISTINCT safra, variable FROM dist WHERE safra <> 'Baseline') c
     JOIN (SELECT DISTINCT variable, value FROM dist) v ON c.variable = v.variable),
 p AS (SELECT g.*, coalesce(a.n, 0) AS n, coalesce(b.n, 0) AS m FROM g
-  LEFT JOIN dist a ON g.cohort = a.cohort AND g.variable = a.variable AND g.value = a.value
-  LEFT JOIN dist b ON b.cohort = 'baseline' AND g.variable = b.variable AND g.value = b.value),
+  LEFT JOIN dist a ON g.safra = a.safra AND g.variable = a.variable AND g.value = a.value
+  LEFT JOIN dist b ON b.safra = 'Baseline' AND g.variable = b.variable AND g.value = b.value),
 q AS (SELECT *, greatest(n / (sum(n) OVER w)::DOUBLE, 0.0001::DOUBLE) AS s,
     greatest(m / (sum(m) OVER w)::DOUBLE, 0.0001::DOUBLE) AS t
-  FROM p WHERE n + m > 0 WINDOW w AS (PARTITION BY cohort, variable))
-SELECT cohort, variable, {r('sum((s - t) * ln(s / t))')} AS psi FROM q GROUP BY 1, 2"""
+  FROM p WHERE n + m > 0 WINDOW w AS (PARTITION BY safra, variable))
+SELECT safra, variable, {r('sum((s - t) * ln(s / t))')} AS psi FROM q GROUP BY 1, 2"""
 SQL["baseline_classes"] = f"""
-WITH {PANEL}, marked AS (SELECT CASE WHEN ref_portfolio = '2001' THEN 'Out-of-Time' ELSE 'Baseline' END AS safra,
-    {CLASSES['class_score_a']} AS class_score_a, {CLASSES['class_score_b']} AS class_score_b
-  FROM panel WHERE ({PRODUCTION}) IS NULL),
-dist AS (SELECT safra, variable, value, count(*) AS n FROM ({long('marked', ['class_score_a', 'class_score_b'], 'safra')})
-  GROUP BY ALL)
+WITH {MONITORED}, {BASELINE},
+dist AS (SELECT safra, variable, value, count(*) AS n FROM ({long('baseline', list(CLASSES), 'safra')})
+  WHERE value IS NOT NULL GROUP BY ALL)
 SELECT safra, variable, value, n, {r('n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY safra, variable)')} AS pct FROM dist"""
