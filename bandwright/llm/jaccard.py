@@ -328,10 +328,13 @@ def _windows(unsettled: DataFrame, distances: DataFrame, sets: DataFrame, pivots
     stray = F.col("label") != F.col("main")
     size = unsettled.groupBy("s").agg(F.count("*").alias("m"), F.count_if(stray).alias("k")).where("k > 0 and m > 1")
     rows = unsettled.drop(*pivots, "size").join(reach, ["s", "node"]).join(size, "s")
-    rows = rows.join(sets.select("node", "sketch"), "node")
+    # Two members may share many regions; the least that both are unsettled in compares them.
+    # A list holds at most a set's first shingles.
+    shared = unsettled.groupBy("node").agg(F.array_sort(F.collect_list("s")).alias("regions"))
+    rows = rows.join(sets.select("node", "sketch"), "node").join(shared, "node")
     blocks = {"m": F.ceil(F.col("m") / BLOCK).cast("int"), "k": F.ceil(F.col("k") / BLOCK).cast("int")}
     own = {name: F.pmod(F.xxhash64("node"), n).cast("int") for name, n in blocks.items()}
-    columns = ["s", "i", "j", "stray", "node", "n", "label", "main", *[f"d{i}" for i in range(len(pivots))], "sketch"]
+    columns = ["s", "i", "j", "stray", "node", "n", "label", "main", *[f"d{i}" for i in range(len(pivots))], "sketch", "regions"]
     strays = rows.where(stray).withColumns({"stray": F.lit(True), "i": own["k"]})
     strays = strays.withColumn("j", F.explode(F.sequence(F.lit(0), blocks["m"] - 1)))
     others = rows.withColumns({"stray": F.lit(False), "j": own["m"]})
@@ -372,6 +375,8 @@ def _near(group: pa.Table) -> np.ndarray:
     sketches = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["sketch"]]
     width = np.array([len(x) for x in sketches])
     others = np.flatnonzero(~stray)
+    here = group["s"][0].as_py()
+    regions = group["regions"]
     classes = {w: others[width[others] == w] for w in set(width[others].tolist())}
     matrices = {w: np.stack([sketches[y] for y in rows]) for w, rows in classes.items()}
     radius = 1 - SHARE[1] / SHARE[0] + 1e-9
@@ -390,6 +395,10 @@ def _near(group: pa.Table) -> np.ndarray:
             # Sketches are no further apart than the sets; linked sets are no further apart than this.
             most = (n[rows[keep]] + n[x]) * (SHARE[0] - SHARE[1])
             close = rows[keep][apart.astype(np.int64) * (SHARE[0] + SHARE[1]) <= most]
+            if len(close):
+                mine = regions[x].values.to_numpy()
+                least = [np.intersect1d(mine, regions[y].values.to_numpy(), assume_unique=True)[0] for y in close.tolist()]
+                close = close[np.array(least) == here]
             if len(close):
                 out.append(np.stack([np.full(len(close), node[x]), node[close]], axis=1))
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
