@@ -100,9 +100,9 @@ def write_archive(
     pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html",
     min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z",
 ) -> None:
-    """Writes the rows as WARC files of at most FILE_RECORDS records into a new folder."""
+    """Writes the rows as gzipped WARC files of at most FILE_RECORDS records into a new folder."""
     written = records(pages, key, url, payload, min_bytes, date).write
-    written.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    written.options(lineSep="\r\n\r\n", maxRecordsPerFile=FILE_RECORDS, compression="gzip").text(path)
 
 
 class Files(InputPartition):
