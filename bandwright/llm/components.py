@@ -29,6 +29,15 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return pairs.where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge down to a root."""
+    many = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    roots = edges.select(F.col("b").alias("a")).distinct()
+    middle = edges.select("a").join(roots, "a", "left_semi")
+    upward = edges.where("a < b").select("a")
+    return many.union(middle).union(upward).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b); label: the least node reachable.
 
@@ -37,12 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     folder, which cuts the lineage.
     """
     state = written(edges.select("a", "b").dropna().where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
+    while not _settled(state):
         state = written(_stars(_stars(state, small=False), small=True), "edges")
-        now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            break
-        seen = now
     labels = state.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("label"))
     return labels.union(labels.select("label", "label").distinct())

@@ -279,7 +279,7 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def links(docs: DataFrame, text: str, width: int, total: int) -> DataFrame:
-    """Pairs of nodes (a, b) that link, enough of them to join all that links join."""
+    """Pairs of nodes (a, b) that join exactly what the links between all nodes join."""
     found = written(homes(docs, text, width, order(docs, text, width, total)), "homes")
     sets = written(found.groupBy("node").agg(F.min("own").alias("own"), F.min("sketch").alias("sketch")), "sets")
     rows = written(
@@ -312,7 +312,9 @@ def links(docs: DataFrame, text: str, width: int, total: int) -> DataFrame:
     unsettled = labelled.join(open_regions, "s").where(~F.col("node").isin(*map(F.col, pivots)))
     rest = _windows(unsettled, distances, sets, pivots)
     rest = rest.join(distances.select("a", "b"), ["a", "b"], "left_anti")
-    return sure.union(measured(rest, sets).where(_linked()).select("a", "b"))
+    # The stars stand for the links that they were made of.
+    stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return stars.union(measured(rest, sets).where(_linked()).select("a", "b"))
 
 
 def _windows(unsettled: DataFrame, distances: DataFrame, sets: DataFrame, pivots: list[str]) -> DataFrame:
