@@ -80,6 +80,47 @@ def _split_by_size(df, columns, by, limit):
     return small, large
 
 
+def _halve(open_ones, bracketed, keys):
+    """Cut each bracket at the middle of its values and keep the half that holds the ranks.
+
+    Where the two wanted ranks lie on both sides, the bracket becomes the largest value
+    below and the smallest above: two values, however often they occur.
+    """
+    own = [(*w["key"], w["lo"], w["hi"], w["p"]) for w in open_ones]
+    inside = F.col("value").between(F.col("lo"), F.col("hi"))
+    ends = bracketed(own, ["p"]).filter(inside).groupBy(*keys, "p").agg(
+        F.min("value").alias("least"), F.max("value").alias("most")
+    )
+    found = {(tuple(r[k] for k in keys), r["p"]): r for r in ends.collect()}
+    cuts = []
+    for w in open_ones:
+        r = found[(w["key"], w["p"])]
+        w["lo"], w["hi"] = r["least"], r["most"]
+        if w["lo"] < w["hi"]:
+            middle = w["lo"] + (w["hi"] - w["lo"]) / 2
+            # Neighbouring doubles have no middle of their own.
+            cuts.append((*w["key"], w["lo"], w["hi"], w["p"], middle if middle < w["hi"] else w["lo"]))
+    if not cuts:
+        return
+    left = F.when(inside & (F.col("value") <= F.col("cut")), F.col("value"))
+    right = F.when(inside & (F.col("value") > F.col("cut")), F.col("value"))
+    halves = bracketed(cuts, ["p", "cut"]).groupBy(*keys, "p").agg(
+        F.count(left).alias("n"), F.max(left).alias("last"), F.min(right).alias("next")
+    )
+    counted = {(tuple(r[k] for k in keys), r["p"]): r for r in halves.collect()}
+    for w in open_ones:
+        r = counted.get((w["key"], w["p"]))
+        if r is None:
+            continue
+        upto = w["below"] + r["n"]
+        if w["last"] < upto:
+            w["hi"], w["inside"] = r["last"], r["n"]
+        elif w["first"] >= upto:
+            w["lo"], w["below"], w["inside"] = r["next"], upto, w["inside"] - r["n"]
+        else:
+            w["lo"], w["hi"], w["done"] = r["last"], r["next"], True
+
+
 def _narrowed(df, columns, probabilities, by, limit):
     spark = df.sparkSession
     keys = [*by, "variable"]
@@ -113,7 +154,7 @@ def _narrowed(df, columns, probabilities, by, limit):
     inside_bracket = F.col("value").between(F.col("lo"), F.col("hi"))
     slack = 2.0
     while True:
-        open_ones = [w for w in wanted if w["inside"] > limit and w["lo"] < w["hi"]]
+        open_ones = [w for w in wanted if w["inside"] > limit and w["lo"] < w["hi"] and not w.get("done")]
         if not open_ones:
             break
         # Sketch around both wanted ranks (one sketch per distinct bracket: the first
@@ -154,9 +195,8 @@ def _narrowed(df, columns, probabilities, by, limit):
                 w["below"], w["inside"] = r["below"], r["inside"]
                 moved = True
         if not moved:
-            slack *= 4
-            if slack > SKETCH:
-                break
+            # Sketches no longer help (many ties, or none at all): halve by value instead.
+            _halve([w for w in open_ones if w["inside"] > limit], bracketed, keys)
 
     # A bracket of one value needs no ranking; the others are ranked after ties collapse.
     rows = [

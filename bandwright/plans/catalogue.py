@@ -25,6 +25,7 @@ from bandwright.plans.frames import (
 from bandwright.plans.frames import panel as order_panel
 from bandwright.sources.model_store import load_newest, save_run
 from bandwright.sources.session import scratch_path, written
+from bandwright.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -124,6 +125,14 @@ def lookup_check(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def catalog_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders read by name from the session's catalog."""
+    table(spark, folder, "orders").createOrReplaceTempView("bandwright_orders")
+    orders = read_table(spark, "bandwright_orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
+    return orders.filter(F.col("o_orderstatus") == "P")
+
+
 @query
 def split_samples(spark: SparkSession, folder: str) -> DataFrame:
     return order_panel(spark, folder).groupBy("sample").agg(
@@ -343,9 +352,15 @@ def correlation_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def select_features(spark: SparkSession, folder: str) -> DataFrame:
+    # Two listed decisions and importances stand in for the search and a model's table, so
+    # that the rule itself can be checked; `boruta` and `importance` run those.
+    decisions = [(c, "rejected" if c in ("am_avg_n", "priority") else "confirmed") for c in [*FEATURES, *CATEGORICAL]]
+    weights = [(c, 0.0 if c in ("ct_tot_r", "score_a") else 1.0) for c in [*FEATURES, *CATEGORICAL]]
     return flows.screen(
         _dev(spark, folder), "bad", FEATURES, CATEGORICAL, ["order_id"], least_iv=0.002,
         exclude_names=["am_min_r"], include_names=["score_a"],
+        relevant=spark.createDataFrame(decisions, "variable string, decision string"),
+        importance=spark.createDataFrame(weights, "variable string, importance double"),
     )
 
 

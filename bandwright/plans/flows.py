@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -35,12 +36,15 @@ def screen(
     dev: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str],
     key: Sequence[str], iterations: int = 0, least_iv: float = 0.02,
     most_correlation: float = 0.8, exclude_names: Sequence[str] = (),
-    include_names: Sequence[str] = (),
+    include_names: Sequence[str] = (), relevant: DataFrame | None = None,
+    importance: DataFrame | None = None, least_importance: float = 0.0,
 ) -> DataFrame:
     """(variable, reason) of every column the screening drops.
 
-    The development rows are kept while the tests pass over them. The
-    all-relevant search runs only when `iterations` is positive.
+    The development rows are kept while the tests pass over them. The all-relevant search
+    runs when `iterations` is positive; `relevant` takes the result of an earlier one, and
+    `importance` a model's table of importances.
+    `rounds` repeats the screening.
     """
     kept = dev.select(*key, target, *numeric, *categorical).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -55,21 +59,53 @@ def screen(
         if iterations:
             found = allrelevant.all_relevant(kept, target, numeric, categorical, key, iterations)
             tests.append(("all_relevant", allrelevant.rejected(found)))
-        iv = screening.information_value(screening.woe_table(kept, target, categorical))
-        iv = iv.unionByName(
-            screening.information_value(screening.banded_woe_table(kept, target, numeric))
-        )
+        if relevant is not None:
+            tests.append(("all_relevant", allrelevant.rejected(relevant)))
+        tables = []
+        if categorical:
+            tables.append(screening.woe_table(kept, target, categorical))
+        if numeric:
+            tables.append(screening.banded_woe_table(kept, target, numeric))
+        iv = reduce(DataFrame.unionByName, map(screening.information_value, tables))
         iv = _report(iv)  # read by three rules
         dropped = screening.select_features(
             sparse=profile.sparse_profile(kept, every), tests=tests, iv=iv, least_iv=least_iv,
-            correlation=screening.correlation_pairs(kept, numeric),
-            most_correlation=most_correlation, exclude=exclude_names, include=include_names,
+            correlation=screening.correlation_pairs(kept, numeric) if numeric else None,
+            most_correlation=most_correlation, importance=importance,
+            least_importance=least_importance, exclude=exclude_names, include=include_names,
         )
         return _report(dropped)
     finally:
         kept.unpersist()
 
 
+def rounds(
+    dev: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str],
+    importances: Callable[[Sequence[str], Sequence[str]], DataFrame] | None = None, most: int = 10,
+    **rules,
+) -> DataFrame:
+    """(round, variable, reason): `screen` on what the rounds before have left, until a
+    round drops nothing.
+
+    `importances` gives the importances of a model fitted on the columns still in; columns
+    that a rule's `include_names` keeps never count as dropped.
+    """
+    found: list[tuple[int, str, str]] = []
+    numeric, categorical = list(numeric), list(categorical)
+    for number in range(1, most + 1):
+        table = importances(numeric, categorical) if importances else None
+        excluded = [c for c in rules.get("exclude_names", ()) if c in {*numeric, *categorical}]
+        own = {**rules, "exclude_names": excluded}
+        rows = screen(dev, target, numeric, categorical, key, importance=table, **own).collect()
+        found += [(number, r["variable"], r["reason"]) for r in rows]
+        gone = {r["variable"] for r in rows}
+        numeric = [c for c in numeric if c not in gone]
+        categorical = [c for c in categorical if c not in gone]
+        if not gone or not (numeric or categorical):
+            break
+    return dev.sparkSession.createDataFrame(found, "round int, variable string, reason string")
+
+
 def _report(df: DataFrame) -> DataFrame:
     """A result of O(columns) rows, computed now and held as literals."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)

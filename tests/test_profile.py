@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.banding import snap_up
 from bandwright.operators import cleaning, profile, shares
+from bandwright.operators import quantiles
 from bandwright.operators.quantiles import exact_quantiles
 
 INF = float("inf")
@@ -93,3 +94,14 @@ def test_shares_sum_to_one_hundred_without_nulls(spark):
     wide = shares.wide_shares(long, "cohort", "a").orderBy("cohort").collect()
     assert [tuple(r) for r in wide] == [("1", pytest.approx(200 / 3), pytest.approx(100 / 3)), ("2", None, 100.0)]
     assert shares.class_cube(df, "cohort", ["a"]).agg(F.sum("n")).first()[0] == 5
+
+
+def test_quantiles_narrow_by_halving_where_sketches_do_not_help(spark, monkeypatch):
+    """A sketch this coarse never narrows; what is left must still be small and exact."""
+    monkeypatch.setattr(quantiles, "SKETCH", 1)
+    dice = np.random.default_rng(8)
+    values = np.concatenate([dice.normal(size=400), np.full(300, 0.25), [1e300, -1e300], np.nextafter(0.25, [0, 1])])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    probs = [0.0, 0.1, 0.5, 0.55, 0.9, 1.0]
+    found = exact_quantiles(df, ["x"], probs, limit=20).first()["quantiles"]
+    assert found == pytest.approx(list(np.quantile(values, probs)))

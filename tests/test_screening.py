@@ -130,3 +130,31 @@ def test_all_relevant_search_finds_the_planted_feature(spark):
     rows = {r["variable"]: r for r in found.collect()}
     assert rows["signal"]["decision"] == "confirmed" and rows["signal"]["hits"] == rows["signal"]["trials"]
     assert "signal" not in {r["variable"] for r in allrelevant.rejected(found).collect()}
+
+
+@pytest.mark.parametrize("t", [0.0, 0.01, 0.7, 1.96, 5.0])
+def test_t_tail_at_a_billion_rows(t):
+    """One formula at any size: at 1e9 degrees of freedom it meets the normal tail."""
+    assert pvalues.t_two_sided(t, 1e9) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
+    assert pvalues.t_two_sided(1.0, 1) == pytest.approx(0.5)
+
+
+def test_rounds_repeat_on_what_is_left(spark):
+    from bandwright.plans import flows
+
+    dice = np.random.default_rng(4)
+    n = 4_000
+    y = dice.integers(0, 2, n)
+    x = {"strong": y + dice.normal(size=n), "noise": dice.normal(size=n), "weak": 0.6 * y + dice.normal(size=n)}
+    rows = [(i, int(y[i]), *(float(x[c][i]) for c in x)) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, y int, strong double, noise double, weak double")
+    seen = []
+
+    def importances(numeric, categorical):
+        seen.append(list(numeric))
+        # `weak` loses its importance once `noise` is gone.
+        return spark.createDataFrame([(c, 0.0 if c == "weak" and "noise" not in numeric else 1.0) for c in numeric], "variable string, importance double")
+
+    found = [tuple(r) for r in flows.rounds(df, "y", list(x), [], ["id"], importances, least_iv=0.02).collect()]
+    assert (2, "weak", "low_importance") in found and {r[1] for r in found} == {"noise", "weak"}
+    assert seen == [["strong", "noise", "weak"], ["strong", "weak"], ["strong"]]
