@@ -36,7 +36,7 @@ PIECES = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 CACHED_PIECES = 500_000
-CACHED_PAIRS = 500_000
+CACHED_PAIRS = 150_000
 CACHED_LENGTH = 32
 BASE = -1
 

@@ -54,6 +54,7 @@ MAX_BITS = 28
 GROUP = 1 << 21
 FLUSH = 1 << 21
 BLOCK = 1024
+HELD_BYTES = 4 << 20
 _TURN = 0x3333333333333333
 
 
@@ -213,8 +214,8 @@ def homes(docs: DataFrame, text: str, width: int, known: Order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, sent = shared.value, set()
+        rows, held = [], 0
         for batch in batches:
-            out = {"node": [], "n": [], "firsts": [], "own": [], "sketch": []}
             for own in _sets(plain(batch.column(0)), width):
                 n = len(own)
                 need = n - -(-SHARE[1] * n // SHARE[0]) + 1
@@ -229,24 +230,25 @@ def homes(docs: DataFrame, text: str, width: int, known: Order) -> DataFrame:
                 sent.add(node)
                 at = np.flatnonzero(rank)
                 firsts = own[at[np.argsort(rank[at], kind="stable")[:left]]]
-                out["node"].append(node)
-                out["n"].append(n)
-                out["firsts"].append(firsts.view(np.int64))
-                out["own"].append(own.tobytes())
-                out["sketch"].append(sketch(own).tobytes())
-            yield pa.record_batch(
-                {
-                    "node": pa.array(out["node"], pa.int64()), "n": pa.array(out["n"], pa.int64()),
-                    "firsts": pa.array(out["firsts"], pa.list_(pa.int64())), "own": pa.array(out["own"], pa.binary()),
-                    "sketch": pa.array(out["sketch"], pa.binary()),
-                }
-            )
+                rows.append((node, n, firsts.view(np.int64), own.tobytes(), sketch(own).tobytes()))
+                held += 12 * n
+                if held >= HELD_BYTES:
+                    yield _homes(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _homes(rows)
 
     return docs.select(F.col(text).alias("text")).mapInArrow(
         run, "node bigint, n bigint, firsts array<bigint>, own binary, sketch binary"
     )
 
 
+def _homes(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+    return pa.record_batch(columns, names=["node", "n", "firsts", "own", "sketch"])
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, either) of the pairs (a, b): sizes of intersection and union."""
 

@@ -63,10 +63,12 @@ class Words(NamedTuple):
 
 
 def plain(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """The column as one large-string array without nulls (null: empty)."""
+    """The column as one array without nulls (null: empty), not copied if it is one already."""
     if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    return texts.cast(pa.large_string()).fill_null("")
+        texts = texts.cast(pa.large_string()).combine_chunks()
+    if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+        texts = texts.cast(pa.large_string())
+    return texts.fill_null("") if texts.null_count else texts
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -81,7 +83,10 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:
-    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if not len(texts):
+        return np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
