@@ -294,9 +294,15 @@ def filtered_median(spark: SparkSession, folder: str) -> DataFrame:
 # --- screening ------------------------------------------------------------------------------
 
 
+_devs: dict[tuple[str, str], DataFrame] = {}
+
+
 def _dev(spark: SparkSession, folder: str) -> DataFrame:
-    """Development rows, written once for the screening passes to read."""
-    return written(modelling(spark, folder).filter(F.col("sample") == "dev"), "dev")
+    """Development rows, written once per application for all screening queries to read."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _devs:
+        _devs[key] = written(modelling(spark, folder).filter(F.col("sample") == "dev"), "dev")
+    return _devs[key]
 
 
 @query

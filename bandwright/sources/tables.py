@@ -22,13 +22,14 @@ def write_parquet(
 ) -> None:
     """Overwrite `path`, one directory per cohort.
 
-    Without `spread` every task writes its rows into the cohort directories as
-    they come: no shuffle, and a hot cohort stays as parallel as the scan. With
-    `spread` the rows go through a round-robin shuffle into that many tasks
-    first, which bounds the number of files per cohort.
+    Rows are rebalanced by cohort first: adaptive execution splits a hot cohort over
+    several tasks and joins small ones, so that each directory gets few, even files. With
+    `spread` they go through a round-robin shuffle into that many tasks instead.
     """
     if spread:
         df = df.repartition(spread)
+    elif partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -24,10 +24,13 @@ HEADLINE = [
     "correlation_pairs", "select_features", "woe_encode", "auc_gini", "auc_gini_fractional",
     "roc_points", "ks_two_sample", "gains_table", "gains_by_sample", "gains_fractional",
     "segment_gains", "psi", "fit_compare", "score_population", "reload_parity",
-    "attribution",
+    "attribution", "importance", "feature_ablation", "boruta", "search_trials",
 ]
 # Model fits are long enough not to need a warm-up of their own.
-COLD = {"fit_compare", "score_population", "reload_parity", "attribution", "select_features"}
+COLD = {
+    "fit_compare", "score_population", "reload_parity", "attribution", "select_features",
+    "importance", "feature_ablation", "boruta", "search_trials",
+}
 
 
 def main() -> None:
