@@ -35,7 +35,7 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-CACHED_PIECES = 500_000
+CACHED_PIECES = 300_000
 CACHED_PAIRS = 150_000
 CACHED_LENGTH = 32
 BASE = -1
@@ -221,31 +221,54 @@ def _encoder(content: str) -> Encoder:
     key = hash(content)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(Vocabulary(content))
+        _encoders[key] = Encoder(_vocabulary(content))
     return _encoders[key]
 
 
+_vocabularies: dict[int, Vocabulary] = {}
+
+
+def _vocabulary(content: str) -> Vocabulary:
+    key = hash(content)
+    if key not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[key] = Vocabulary(content)
+    return _vocabularies[key]
+
+
 def _content(path: str) -> str:
     with open(path, encoding="utf-8") as file:
         return file.read()
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with the token ids of the whole text as array<int>."""
-    docs = without(docs, [ids])
+def encode(
+    docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """`docs` with the token ids of the whole text as array<int>.
+
+    With the name `decoded` also with the text decoded from the ids, in the same pass.
+    """
+    docs = without(docs, [ids, decoded or ids])
     content = docs.sparkSession.sparkContext.broadcast(_content(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content.value)
+        decoder = Decoder(encoder.vocabulary) if decoded else None
         for batch in batches:
-            ends, parts = [0], []
+            ends, parts, texts = [0], [], []
             for value in plain(batch.column(text)):
                 parts.append(encoder.packed(value.as_py()))
                 ends.append(ends[-1] + len(parts[-1]) // 4)
+                if decoder:
+                    texts.append(decoder.decode(np.frombuffer(parts[-1], np.int32)))
             values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
-            yield beside(batch, {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
+            added = {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            if decoded:
+                added[decoded] = pa.array(texts, pa.string())
+            yield beside(batch, added)
 
-    return docs.mapInArrow(run, extended(docs, [(ids, "array<int>")]))
+    fields = [(ids, "array<int>"), *([(decoded, "string")] if decoded else [])]
+    return docs.mapInArrow(run, extended(docs, fields))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -254,7 +277,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     content = docs.sparkSession.sparkContext.broadcast(_content(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(_encoder(content.value).vocabulary)
+        decoder = Decoder(_vocabulary(content.value))
         for batch in batches:
             lists = batch.column(ids)
             texts = [decoder.decode(x.values.to_numpy()) if x.is_valid else None for x in lists]

@@ -97,7 +97,7 @@ def vocabulary_path() -> str:
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id with the digests of the ids and of the text decoded from them."""
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    both = bpe.encode(docs.select("doc_id", "text"), path, decoded="decoded")
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -80,6 +80,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         hi = min(max(hi, lo + 1), len(texts))
         yield lo, hi
         lo = hi
+    # A worker lives on after its task; what a batch needed goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def _offsets(texts: pa.Array) -> np.ndarray:

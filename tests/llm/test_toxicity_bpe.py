@@ -60,6 +60,8 @@ def test_frames(spark, documents, library):
     assert len(got) == documents.count() and both.columns == ["doc_id", "text", "ids", "decoded"]
     for r in got:
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
+    once = bpe.encode(documents, vocabulary_path(), decoded="decoded")
+    assert sorted(once.collect(), key=str) == sorted(got, key=str)
     nulls = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert sorted(bpe.decode(nulls, vocabulary_path()).select("decoded").collect(), key=str) == sorted([(None,), ("",)], key=str)
     assert bpe.encode(documents.limit(0), vocabulary_path()).collect() == []
