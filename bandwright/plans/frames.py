@@ -19,14 +19,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{folder}/{name}.parquet")
 
 
-def panel(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order: the customer panel with cohort, sample, target and scores."""
+def panel(spark: SparkSession, folder: str, dated: bool = False) -> DataFrame:
+    """One row per order: the customer panel with cohort, sample, target and scores, and
+    if `dated` with the day."""
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("consumer_id"),
         F.year("o_orderdate").cast("string").alias("ref_portfolio"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("bad"),
         F.floor(F.col("o_totalprice") / 500).cast("int").alias("score_a"),
-        F.col("o_orderpriority").alias("priority"),
+        F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("referenced_at"),
     )
     customer = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("consumer_id"), F.col("c_nationkey").alias("nation_id"),
@@ -49,7 +50,7 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
         "order_id", "consumer_id", "ref_portfolio",
         sample_of("order_id", "ref_portfolio", OOT).alias("sample"), "bad", "score_a",
         F.floor((F.col("balance") + 1000) / 11).cast("int").alias("score_b"),
-        "segment", "priority", "region",
+        "segment", "priority", "region", *(["referenced_at"] if dated else []),
     )
 
 
@@ -68,9 +69,9 @@ def book(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(*aggregates)
 
 
-def modelling(spark: SparkSession, folder: str) -> DataFrame:
+def modelling(spark: SparkSession, folder: str, dated: bool = False) -> DataFrame:
     """Panel with the book's features."""
-    return star_assembly(panel(spark, folder), [Satellite(book(spark, folder), ("order_id",))])
+    return star_assembly(panel(spark, folder, dated), [Satellite(book(spark, folder), ("order_id",))])
 
 
 STATES = ("AC", "PA", "BA", "CE", "MG", "RJ", "SP", "PR", "RS", "DF")
@@ -85,10 +86,7 @@ def monitored(spark: SparkSession, folder: str) -> DataFrame:
     Amounts, counts and scores are the book's and the panel's; what the tables lack
     (age, tenure, states, brands) is derived from the keys.
     """
-    dates = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("order_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("referenced_at")
-    )
-    df = star_assembly(modelling(spark, folder), [Satellite(dates, ("order_id",))])
+    df = modelling(spark, folder, dated=True)
 
     def picked(values: tuple[str, ...], key: str):
         return F.array(*map(F.lit, values))[(F.col(key) % len(values)).cast("int")]
