@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from bandwright.llm.frames import beside, extended, without
+from bandwright.llm.frames import beside, extended, mapped, without
 from bandwright.llm.words import plain
 
 #: The piece pattern of byte-level BPE; white space is Unicode's White_Space property.
@@ -268,7 +268,7 @@ def encode(
             yield beside(batch, added)
 
     fields = [(ids, "array<int>"), *([(decoded, "string")] if decoded else [])]
-    return docs.mapInArrow(run, extended(docs, fields))
+    return mapped(docs, run, extended(docs, fields))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -283,4 +283,4 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
             texts = [decoder.decode(x.values.to_numpy()) if x.is_valid else None for x in lists]
             yield beside(batch, {text: pa.array(texts, pa.string())})
 
-    return docs.mapInArrow(run, extended(docs, [(text, "string")]))
+    return mapped(docs, run, extended(docs, [(text, "string")]))

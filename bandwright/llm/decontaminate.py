@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.llm.frames import beside, extended, without
+from bandwright.llm.frames import beside, extended, mapped, without
 from bandwright.llm.words import NOT_ALNUM, Words, plain, slices, whole_hash, window_hashes, words
 from bandwright.sources.session import written
 
@@ -157,7 +157,7 @@ def _places(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
         if i:
             marked = written(marked)
         table = context.broadcast(item_windows(block, window))
-        marked = marked.mapInArrow(_marker(table, text, not i), schema)
+        marked = mapped(marked, _marker(table, text, not i), schema)
     return marked
 
 
@@ -196,4 +196,4 @@ def remove_spans(
 ) -> DataFrame:
     """All documents, their texts without the words inside occurrences of item windows."""
     marked = _places(docs, benchmark, text, item, item_text, window)
-    return marked.mapInArrow(_cutter(text), marked.schema).drop(*_STATE)
+    return mapped(marked, _cutter(text), marked.schema).drop(*_STATE)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.llm.frames import beside, extended, without
+from bandwright.llm.frames import beside, extended, mapped, without
 from bandwright.llm.words import mix, plain, shingle_lists, slices
 
 WIDTH = 5
@@ -110,7 +110,7 @@ def fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint")
         for batch in batches:
             yield beside(batch, {name: pa.array(pack(bins_of(plain(batch.column(text)))), pa.string())})
 
-    return docs.mapInArrow(run, extended(docs, [(name, "string")]))
+    return mapped(docs, run, extended(docs, [(name, "string")]))
 
 
 def _range_of(key: str, cuts: list[int], base: int = 0) -> Column:
@@ -195,7 +195,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: i
                 }
             )
 
-    return in_order(docs, key, text, parts).mapInArrow(
+    return mapped(in_order(docs, key, text, parts),
         run,
         "key bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string,"
         " near_edited double, near_next double",

@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwright.llm.components import components
+from bandwright.llm.frames import mapped
 from bandwright.llm.words import mix, plain, shingle_lists, slices
 from bandwright.sources.session import written
 
@@ -83,7 +84,7 @@ def signed(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             )
 
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n_shingles bigint, node bigint")
+    return mapped(docs, run, f"key {docs.schema['key'].dataType.simpleString()}, n_shingles bigint, node bigint")
 
 
 class Order(NamedTuple):
@@ -167,7 +168,7 @@ def order(docs: DataFrame, text: str, width: int, total: int) -> Order:
             }
         )
 
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(emit, "range int, found binary, more binary")
+    sent = mapped(docs.select(F.col(text).alias("text")), emit, "range int, found binary, more binary")
     summed = written(
         sent.groupBy("range").applyInArrow(add, "range int, shared binary, keys binary, counts binary"), "counts"
     )
@@ -238,7 +239,7 @@ def homes(docs: DataFrame, text: str, width: int, known: Order) -> DataFrame:
         if rows:
             yield _homes(rows)
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(
+    return mapped(docs.select(F.col(text).alias("text")),
         run, "node bigint, n bigint, firsts array<bigint>, own binary, sketch binary"
     )
 
@@ -269,7 +270,7 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, common bigint, either bigint")
+    return mapped(both.select("a", "b", "x", "y"), run, "a bigint, b bigint, common bigint, either bigint")
 
 
 def _linked() -> Column:
@@ -346,7 +347,7 @@ def _windows(unsettled: DataFrame, distances: DataFrame, sets: DataFrame, pivots
     both = strays.select(columns).union(others.select(columns))
     parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(parts, "s", "i", "j").sortWithinPartitions("s", "i", "j")
-    return dealt.mapInArrow(_compare, "a bigint, b bigint").distinct()
+    return mapped(dealt, _compare, "a bigint, b bigint").distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.llm.frames import beside, extended, without
+from bandwright.llm.frames import beside, extended, mapped, without
 from bandwright.llm.words import bytes_of, plain, slices
 
 
@@ -234,7 +234,7 @@ def find(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", nam
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield beside(batch, {name: pa.array(spans, kind)})
 
-    return docs.mapInArrow(run, extended(docs, [(name, "array<struct<kind:string,start:bigint,end:bigint>>")]))
+    return mapped(docs, run, extended(docs, [(name, "array<struct<kind:string,start:bigint,end:bigint>>")]))
 
 
 def build_index(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,7 +251,7 @@ def build_index(docs: DataFrame, rules: Sequence[Rule] = RULES, key: str = "doc_
                 column = pa.array([keys.take(pa.array(rows)).to_pylist() for rows in lists.values()], pa.list_(keys.type))
                 yield pa.record_batch({"gram": pa.array(list(lists), pa.string()), "keys": column})
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"gram string, keys array<{field}>")
+    return mapped(docs.select(F.col(key), F.col(text)), run, f"gram string, keys array<{field}>")
 
 
 def _holds(query: Query) -> Column:

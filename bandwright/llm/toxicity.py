@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.llm.frames import beside, extended, without
+from bandwright.llm.frames import beside, extended, mapped, without
 from bandwright.llm.words import NOT_ALNUM, mix, plain, slices, stem_hashes, window_hashes, words
 
 BITS = 20
@@ -167,7 +167,7 @@ def score(docs: DataFrame, weights: Weights, key: str = "doc_id", text: str = "t
         for batch in batches:
             yield beside(batch, {"score": pa.array(scores(plain(batch.column(text)), shared.value))})
 
-    scored = docs.mapInArrow(run, extended(docs, [("score", "double")]))
+    scored = mapped(docs, run, extended(docs, [("score", "double")]))
     return scored.withColumn("held_out", F.coalesce(fold(key) == 0, F.lit(False))).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.llm.frames import beside, extended, without
+from bandwright.llm.frames import beside, extended, mapped, without
 
 
 class Rule(NamedTuple):
@@ -104,7 +104,7 @@ def judge(
                 {name: pa.array([h[i] for h in hits], pa.int32()) for i, name in enumerate(RESULTS[4:])},
             )
 
-    counted = pages.mapInArrow(run, extended(pages, [(name, "int") for name in RESULTS[4:]]))
+    counted = mapped(pages, run, extended(pages, [(name, "int") for name in RESULTS[4:]]))
     counted = counted.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     # The longest first; of equally long rules the first in the list.
     ordered = sorted(rules, key=lambda r: -len(r.host + r.path))
