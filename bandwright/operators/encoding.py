@@ -190,8 +190,12 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     return per_class.select(target, "n", (whole / (2 * F.col("n"))).alias("weight"))
 
 
-def with_class_weight(df: DataFrame, target: str, output: str = "weight") -> DataFrame:
-    weights = {r[target]: r["weight"] for r in class_weights(df, target).collect()}
+def with_class_weight(
+    df: DataFrame, target: str, output: str = "weight", of: DataFrame | None = None,
+) -> DataFrame:
+    """`df` with the weight that each row's class has among the rows of `of`, or its own."""
+    counted = df if of is None else of
+    weights = {r[target]: r["weight"] for r in class_weights(counted, target).collect()}
     # A class that the fit has not seen weighs as an average row.
     case = F.when(F.col(target).isNotNull(), F.lit(1.0))
     for value, weight in weights.items():

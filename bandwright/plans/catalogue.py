@@ -407,7 +407,8 @@ def class_weights(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- models ---------------------------------------------------------------------------------
 
-# Labelled rows that the all-relevant search and each trial of a search are fitted on at most.
+# Labelled rows that the forests of the all-relevant search and of each trial of a search are
+# fitted on at most; medians, modes, levels and class weights take all labelled rows.
 FIT_ROWS = 4_000
 FINALISTS = [models.QUICK_FOREST, *models.FINALISTS]
 _stores: dict[tuple[str, str], str] = {}
@@ -477,7 +478,7 @@ def feature_ablation(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def search_trials(spark: SparkSession, folder: str) -> DataFrame:
     df = _kept(spark, folder)
-    return _report(lambda: search.search(df, "bad", FEATURES, CATEGORICAL, "rf", fit_rows=FIT_ROWS), df)
+    return _report(lambda: search.search(df, "bad", FEATURES, CATEGORICAL, "rf", fit_rows=FIT_ROWS, key=["order_id"]), df)
 
 
 @query

@@ -158,3 +158,20 @@ def test_rounds_repeat_on_what_is_left(spark):
     found = [tuple(r) for r in flows.rounds(df, "y", list(x), [], ["id"], importances, least_iv=0.02).collect()]
     assert (2, "weak", "low_importance") in found and {r[1] for r in found} == {"noise", "weak"}
     assert seen == [["strong", "noise", "weak"], ["strong", "weak"], ["strong"]]
+
+
+def test_a_row_bound_leaves_the_all_relevant_statistics_whole(spark):
+    rows = [(i, None if i % 4 == 0 else float(i), f"k{i % 300}", 1 if i % 40 == 0 else 0) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "id int, x double, k string, y int")
+    every, some = (allrelevant._chunked(df, "y", ["x"], ["k"], ["id"], 7, n).collect() for n in (None, 300))
+
+    def weights(frame):
+        return {(y, w) for r in frame for y, w in zip(r["y"], r["class_weight"])}
+
+    def median(frame):
+        return max({x for r in frame for x in r["x"]}, key=lambda v: sum(x == v for r in frame for x in r["x"]))
+
+    assert 220 < sum(len(r["y"]) for r in some) < 380 and sum(len(r["y"]) for r in every) == 3_000
+    assert weights(some) <= weights(every) and median(some) == median(every)
+    codes = {k for r in some for k in r["k"]}
+    assert codes <= {k for r in every for k in r["k"]} and max(codes) > 250
