@@ -70,7 +70,7 @@ def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return licenses.scan(docs).select("doc_id", "n_matches", "license", "dice")
+    return licenses.find(docs).select("doc_id", "n_matches", "license", "dice")
 
 
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:

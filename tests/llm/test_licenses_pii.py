@@ -136,3 +136,44 @@ def test_licenses_match_brute_force(spark, documents):
         assert (r.n_matches, r.license) == (n, name)
         assert (r.dice is None and value is None) or r.dice == pytest.approx(-value)
     assert licenses.scan(documents.limit(0)).collect() == []
+
+
+def test_notices_in_wrapped_lines_and_paragraphs(spark):
+    notice = licenses.TEMPLATES
+    filler = "nothing of interest is said in this part of the text at all and it goes on for a while"
+    wrapped = {k: "\n# ".join(re.findall(r"(?:\S+ ?){1,6}", notice[k])) for k in ("apache-2.0-header", "gpl-3.0-header", "mpl-2.0")}
+    texts = [(k, f"{filler}\n{w}\n{filler}\n{filler}") for k, w in wrapped.items()]
+    texts += [(k, f"{filler}. {notice[k]} {filler}") for k in notice if k != "apache-2.0"]
+    texts += [(k, f"Copyright 2020 A. Person\n\n{body}") for k, body in licenses.full_texts().items() if len(body) < 12_000]
+    texts += [(k, f"{filler} {' '.join(body.split())} {filler}") for k, body in licenses.full_texts().items() if k in ("mit", "bsd-3-clause")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    for r in licenses.find(df).collect():
+        name = texts[r.doc_id][0]
+        assert r.license == name and r.dice == pytest.approx(1.0) and r.n_matches >= 1, (name, r.license, r.dice)
+        assert any(p.license == name for p in r.passages)
+    twice = spark.createDataFrame([(1, f"{notice['mit']}\n{filler} {notice['mit']} {filler}"), (2, filler), (3, None)], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_matches for r in licenses.find(twice).collect()} == {1: 2, 2: 0, 3: 0}
+    plan = licenses.find(df)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_windows_match_brute_force(spark):
+    rng = random.Random(5)
+    templates = {k: v for k, v in licenses.TEMPLATES.items() if len(v) < 150}
+    sets = {k: set(licenses.bigrams(v)) for k, v in templates.items()}
+    rows = []
+    for i in range(12):
+        words = rng.choice(list(templates.values())).split()
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(words))
+            words[at:at + rng.randint(0, 1)] = [rng.choice(["foo", "the", "License"])]
+        rows.append((i, " ".join([f"a{j}" for j in range(60)] + words + [f"b{j}" for j in range(60)])))
+    for r in licenses.find(spark.createDataFrame(rows, "doc_id bigint, text string"), templates, {}).collect():
+        words = re.sub(r"[\W_]+", " ", r.text.lower()).split()
+        pairs = [" ".join(p) for p in zip(words, words[1:])]
+        top = max(
+            (dice(set(pairs[a:b + 1]), own), k)
+            for k, own in sets.items() for a in range(len(pairs))
+            for b in range(a, min(len(pairs), a + len(own) * 3 // 2))
+        )
+        assert (r.dice or 0) == pytest.approx(top[0] if top[0] >= licenses.THRESHOLD else 0)
