@@ -177,3 +177,9 @@ def test_windows_match_brute_force(spark):
             for b in range(a, min(len(pairs), a + len(own) * 3 // 2))
         )
         assert (r.dice or 0) == pytest.approx(top[0] if top[0] >= licenses.THRESHOLD else 0)
+
+
+def test_domains_of_any_length(spark):
+    texts = ["a@b" + ".c" * n + " x@y.z" for n in (499, 501, 700, 50_000)]
+    for r in pii.annotate(spark.createDataFrame([(t,) for t in texts], "text string"), None).collect():
+        assert [(s.kind, s.start, s.end) for s in r.base_spans] == brute(r.text)
