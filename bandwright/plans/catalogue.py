@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bandwright.functions import presets
-from bandwright.functions.banding import with_classes
+from bandwright.functions.banding import Groups, with_classes
 from bandwright.functions.columns import INF
 from bandwright.functions.text import group_by_dictionary, keep_listed, with_first_contained
 from bandwright.operators import (
