@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm import bpe, decontaminate, fingerprints, jaccard, licenses, pii, secrets, toxicity, urls, warc
+from bandwright.llm import (
+    bpe, decontaminate, fingerprints, jaccard, licenses, merkle, pii, secrets, spelling, toxicity, transducer, urls, warc,
+)
 from bandwright.sources.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +111,35 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(_table(spark, folder, "documents"), vocabulary_path())
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    marked = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    tampered = F.when(marked, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.prove(_table(spark, folder, "documents"), tampered).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", "verified",
+    )
+
+
+def rank_file_path() -> str:
+    """The public rank file for many languages of this installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op12_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    both = transducer.encode(docs, rank_file_path(), decoded="decoded", packed="packed")
+    return both.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
 REGISTRY: dict[str, Query] = {
     "op1_secrets": op1_secrets,
     "op2_jaccard_join": op2_jaccard_join,
@@ -120,4 +151,7 @@ REGISTRY: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_merkle": op11_merkle,
+    "op12_transducer": op12_transducer,
+    "op13_spelling": op13_spelling,
 }

@@ -197,6 +197,106 @@ found AS (
 SELECT doc_id, coalesce(n_matches, 0) AS n_matches, license, dice FROM documents LEFT JOIN found USING (doc_id)
 """
 
+# CRC-32 of a text: the table of one byte, then a fold over the bytes of the text.
+_CRC_TABLE = """crc_table AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of `text`; `t` of `crc_table` must be at hand."""
+    code = f"hex(encode({text}))"
+    data = f"list_transform(range(0, length({code}) // 2), lambda i: ('0x' || substr({code}, (2 * i + 1)::BIGINT, 2))::BIGINT)"
+    fold = f"list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))"
+    return f"xor({fold}, 4294967295)"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of the trees over `leaves` (g, i, digest)."""
+    return f"""{name} AS (
+    SELECT 0 AS level, g, i, digest FROM {leaves}
+    UNION ALL
+    SELECT level + 1, g, i // 3, sha256(string_agg(digest, '' ORDER BY i))
+    FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}) WHERE c > 1 GROUP BY level, g, i // 3)"""
+
+
+def _beside(name: str, leaves: str, tree: str) -> str:
+    """For each leaf and level what stands left and right of its branch."""
+    return f"""{name} AS (
+    SELECT g, i, list({{'l': l, 'r': r}} ORDER BY level) AS path FROM (
+        SELECT x.g, x.i, level, coalesce(string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i < x.i // power(3, level)::BIGINT), '') AS l,
+            coalesce(string_agg(n.digest, '' ORDER BY n.i) FILTER (n.i > x.i // power(3, level)::BIGINT), '') AS r
+        FROM {leaves} x JOIN {tree} n ON n.g IS NOT DISTINCT FROM x.g AND n.i // 3 = x.i // power(3, level + 1)::BIGINT
+        WHERE (n.g, n.level) IN (SELECT (g, level) FROM {tree} GROUP BY g, level HAVING count(*) > 1)
+        GROUP BY x.g, x.i, level) GROUP BY g, i)"""
+
+
+OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaf AS (
+    SELECT doc_id, coalesce(source, chr(0)) AS g, {_leaf("text")} AS digest,
+        {_leaf("changed")} AS tampered, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i
+    FROM (SELECT *, CASE WHEN {_crc("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+        FROM documents, crc_table)),
+{_tree("node", "leaf")},
+{_beside("below", "leaf", "node")},
+top AS (SELECT g AS source, digest, 0 AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i FROM node
+    WHERE (g, level) IN (SELECT (g, max(level)) FROM node GROUP BY g)),
+{_tree("high", "top")},
+{_beside("above", "top", "high")},
+root AS (SELECT digest AS root FROM high ORDER BY level DESC LIMIT 1),
+proved AS (
+    SELECT doc_id, x.digest AS leaf, tampered, t.digest AS subroot, root,
+        list_concat(coalesce(b.path, []), coalesce(a.path, [])) AS path
+    FROM leaf x JOIN top t ON t.source = x.g LEFT JOIN below b ON b.g = x.g AND b.i = x.i
+    LEFT JOIN above a ON a.i = t.i, root),
+folded AS (
+    SELECT *, list_reduce(list_prepend({{'l': tampered, 'r': ''}}, path),
+        lambda acc, s: {{'l': sha256(s.l || acc.l || s.r), 'r': ''}}).l AS folded_root FROM proved)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256,
+    folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+OP13 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS k,
+        translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+once AS (SELECT k, r, count(*) AS n FROM run WHERE length(r) >= 7 GROUP BY k, r),
+marked AS (SELECT r, n, {_crc("k || ':' || r")} AS h FROM once, crc_table),
+word AS (
+    SELECT w, sum(n)::BIGINT AS n FROM (
+        SELECT n, CASE WHEN h % 31 = 0 THEN r[:(h % length(r))::BIGINT] || r[(h % length(r))::BIGINT + 2:] ELSE r END AS w FROM marked)
+    WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+place AS (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM word),
+cut AS (SELECT w, i, w[:i - 1] AS a, w[i + 1:] AS b FROM place),
+pair AS (
+    SELECT x.w, y.w AS v FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.w <> y.w
+    UNION SELECT x.w, y.w FROM cut x JOIN word y ON y.w = x.a || x.b
+    UNION SELECT y.w, x.w FROM cut x JOIN word y ON y.w = x.a || x.b),
+best AS (
+    SELECT p.w, count(*) AS n_near, max(y.n) AS most, arg_min(p.v, (-y.n, encode(p.v))) AS v
+    FROM pair p JOIN word y ON y.w = p.v GROUP BY p.w),
+form AS (
+    SELECT w AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN v END AS form,
+        CASE WHEN most >= 10 * n THEN most END AS form_n
+    FROM word LEFT JOIN best USING (w)),
+chain AS (
+    SELECT word, word AS at FROM form
+    UNION ALL SELECT c.word, f.form FROM chain c JOIN form f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM form f JOIN chain c ON c.word = f.word JOIN form l ON l.word = c.at AND l.form IS NULL
+"""
+
 SQL: dict[str, str] = {
     "op1_secrets": OP1,
     "op2_jaccard_join": OP2,
@@ -204,4 +304,6 @@ SQL: dict[str, str] = {
     "op5_warc": OP5,
     "op6_urls": OP6,
     "op7_licenses": OP7,
+    "op11_merkle": OP11,
+    "op13_spelling": OP13,
 }

@@ -15,4 +15,4 @@ def test_matches_sql(spark, folder, name):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.REGISTRY)
-    assert numbers == list(range(1, 11)) and set(twins.SQL) <= set(queries.REGISTRY)
+    assert numbers == list(range(1, 14)) and set(twins.SQL) <= set(queries.REGISTRY)
