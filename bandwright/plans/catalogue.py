@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -18,7 +19,7 @@ from bandwright.operators import (
     ranking, screening, search, shares,
 )
 from bandwright.operators.quantiles import medians
-from bandwright.plans import flows
+from bandwright.plans import flows, fullbase
 from bandwright.plans.frames import (
     BOOK, CATEGORICAL, FEATURES, cards, doc_panel, modelling, monitored, table,
 )
@@ -516,6 +517,39 @@ def score_population(spark: SparkSession, folder: str) -> DataFrame:
     return flows.score_population(base, model, FEATURES, keep, path=path, cohort="ref_portfolio")
 
 
+_base_models: dict[tuple[str, str], str] = {}
+
+
+def _base_model(spark: SparkSession, folder: str):
+    """The chosen model fitted on the eligible rows of the full base; once per application, then loaded."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _base_models:
+        contract = fullbase.STUDY
+        eligible = fullbase.study_base(spark, folder).filter(F.col("exclusao") == "others")
+        model = models.fit(
+            written(eligible, "base"), contract.target, contract.numeric, contract.categorical, models.CHOSEN)
+        store = scratch_path(spark, "models")
+        save_run(spark, model, store, "base")
+        _base_models[key] = store
+    return load_newest(spark, _base_models[key], "base")
+
+
+@query
+def full_base_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw tables assembled, excluded, prepared, scored and written by cohort; read back by table name.
+
+    The history is written first; the newest cohort then comes in with a later run, which
+    also writes its predecessor anew. `scored` tells that the score lies in its range.
+    """
+    model = _base_model(spark, folder)
+    name, path = f"full_base_{uuid.uuid4().hex}", scratch_path(spark, "full_base")
+    for cohorts in (["1995", "1996", "1997", "1998", "1999", "2000"], ["2000", "2001"]):
+        ready = fullbase.study_base(spark, folder, cohorts)
+        found = fullbase.write_cohorts(fullbase.scored(ready, model), name, path, "ref_portfolio")
+    score = F.col("score_cs_carteira")
+    return rounded(found.withColumn("scored", score.between(0, 1000)).drop("score_cs_carteira"), 4)
+
+
 # --- evaluation -----------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bandwright.functions import presets
+from bandwright.functions.columns import numeric_columns, text_columns
 from bandwright.functions.text import group_by_dictionary, keep_listed, with_first_contained
 from bandwright.operators import cleaning, models
 from bandwright.operators.panel import Satellite, out_of_scope, study_exclusions
@@ -29,10 +30,12 @@ LABELS = (
 class Contract:
     """What a base must hold to be scored, and how each column enters.
 
-    `keep` columns identify a row or go along. Numeric inputs may come as numbers, decimals
-    or text. The target is optional in a row and never filled.
+    `keys` identify a row and stay as they are, `keep` columns go along and are filled.
+    Numeric inputs may come as numbers, decimals or text. The target is optional in a row
+    and never filled.
     """
 
+    keys: tuple[str, ...]
     keep: tuple[str, ...]
     categorical: tuple[str, ...]
     numeric: tuple[str, ...]
@@ -40,7 +43,7 @@ class Contract:
 
     @property
     def columns(self) -> list[str]:
-        given = [*self.keep, *([self.target] if self.target else []), *self.categorical, *self.numeric]
+        given = [*self.keys, *self.keep, *([self.target] if self.target else []), *self.categorical, *self.numeric]
         return list(dict.fromkeys(given))
 
     def faults(self, df: DataFrame) -> list[str]:
@@ -60,17 +63,14 @@ class Contract:
         if faults:
             raise ValueError("the base breaks its contract: " + "; ".join(faults))
         cast = cleaning.to_double(df.select(*self.columns), self.numeric)
-        filled = cleaning.fill_numeric_zero(cast, target=self.target)
-        return cleaning.fill_categorical(filled, [c for c in _texts(filled) if c != self.target])
-
-
-def _texts(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BooleanType))]
+        own = {*self.keys, self.target}
+        filled = cleaning.fill_numeric_zero(cast, [c for c in numeric_columns(cast) if c not in own])
+        return cleaning.fill_categorical(filled, [c for c in text_columns(filled) if c not in own])
 
 
 #: The columns that the study's final model is scored with.
 STUDY = Contract(
-    keep=("cpf", *STAR, "ref_date", "SCORE_C2BA", REASON), categorical=presets.FINAL_CATEGORICAL,
+    keys=("cpf", *STAR), keep=("ref_date", "SCORE_C2BA", REASON), categorical=presets.FINAL_CATEGORICAL,
     numeric=presets.FINAL_NUMERIC, target="SConcEver60dP6_100",
 )
 
@@ -119,10 +119,14 @@ def write_cohorts(df: DataFrame, table: str, path: str, cohort: str) -> DataFram
     """
     spark = df.sparkSession
     ordered = df.select(*[c for c in df.columns if c != cohort], cohort).hint("rebalance", cohort)
-    if spark.catalog.tableExists(table):
-        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
-    else:
-        ordered.write.format("parquet").partitionBy(cohort).option("path", path).saveAsTable(table)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(cohort).parquet(path)
+    if not spark.catalog.tableExists(table):
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
+        # Names and path are the caller's own; backquotes and quotes in them are doubled.
+        name = ".".join(f"`{part.replace('`', '``')}`" for part in table.split("."))
+        where = path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet PARTITIONED BY (`{cohort}`) LOCATION '{where}'")
+    spark.catalog.recoverPartitions(table)
     spark.catalog.refreshTable(table)
     return spark.table(table).select(*df.columns)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bandwright.functions import presets
+from bandwright.plans import fullbase
 
 BUCKET = "('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 100"
 
@@ -643,3 +644,75 @@ WITH {PANEL}, s AS (SELECT sample, count(*) AS rows FROM panel GROUP BY 1)
 SELECT sample, rows, 0 AS max_abs_diff FROM s
 UNION ALL SELECT 'tot', CAST(sum(rows) AS BIGINT), 0 FROM s WHERE sample IN ('dev', 'val')"""
 SQL["catalog_scan"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P'"
+
+# --- full-base scoring ----------------------------------------------------------------------
+
+
+def _pick(values: tuple, key: str) -> str:
+    listed = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"[{listed}][CAST({key} % {len(values)} AS INTEGER) + 1]"
+
+
+def _book_column(name: str, how: tuple) -> str:
+    kind, which = how
+    x = f"CASE WHEN {which[0]} = '{which[1]}' THEN l_extendedprice END" if which else "l_extendedprice"
+    return f"{kind}({x}) AS {name}" if kind == "count" else f"CAST({kind}({x}) AS DECIMAL(18, 2)) AS {name}"
+
+
+def _dictionary(column: str) -> str:
+    lines = " ".join(
+        f"WHEN lower({column}) IN ({', '.join(repr(v) for v in values)}) THEN '{label}'"
+        for label, values in presets.ISSUER_GROUPS.items()
+    )
+    return f"CASE WHEN {column} IS NULL THEN '{presets.ISSUER_NULL}' {lines} ELSE '{presets.ISSUER_DEFAULT}' END"
+
+
+_STAR = "consumer_id, ref_portfolio, flag_consumer"
+_brand = " ".join(f"WHEN contains(lower(device_modelo_ref), '{b}') THEN '{b}'" for b in presets.DEVICE_BRANDS)
+_mails = ", ".join(f"'{d}'" for d in presets.EMAIL_DOMAINS)
+_filled_numeric = ", ".join(f"round(coalesce({c}::DOUBLE, 0), 4) + 0.0 AS {c}" for c in presets.FINAL_NUMERIC)
+_any = " OR ".join
+SQL["full_base_scoring"] = f"""
+WITH dated AS (
+  SELECT o_orderkey, o_custkey AS consumer_id, CAST(year(o_orderdate) AS VARCHAR) AS ref_portfolio,
+    CASE o_orderstatus WHEN 'F' THEN 'with_relation' WHEN 'O' THEN 'without_relation' ELSE 'unknown' END AS flag_consumer,
+    o_totalprice, o_orderdate, o_orderpriority, md5(c_name) AS cpf, c_acctbal, c_nationkey, c_mktsegment
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+base AS (
+  SELECT {_STAR}, max(cpf) AS cpf, strftime(min(o_orderdate), '%Y-%m-%d') AS ref_date, max(c_mktsegment) AS digital_account_status,
+    nullif(min(o_orderpriority), '5-LOW') AS bandeira_cartao_ref, consumer_id % 50 AS tempo_registro_em_meses,
+    consumer_id % 85 + 12 AS idade_em_anos, consumer_id % 17 = 0 AS deactivated,
+    {_pick(fullbase.STATES, "max(c_nationkey)")} AS ddd_state, {_pick(fullbase.MAILS, "consumer_id")} AS email_domain,
+    {_pick(fullbase.DEVICES, "consumer_id")} AS device_modelo_ref, {_pick(fullbase.ISSUERS, "consumer_id")} AS instituicao_cartao_ref
+  FROM dated WHERE flag_consumer <> 'unknown' GROUP BY {_STAR}),
+target AS (
+  SELECT {_STAR}, max(CAST(o_totalprice > 450000 AS INTEGER)) AS bad0,
+    CASE WHEN count(*) >= 2 THEN max(CAST(o_totalprice > 300000 AS INTEGER)) END AS bad6,
+    max(floor(o_totalprice / 500)) AS H2PA, max(floor((c_acctbal + 1000) / 11)) AS HSPA
+  FROM dated GROUP BY {_STAR}),
+book AS (
+  SELECT {_STAR}, {", ".join(_book_column(c, how) for c, how in fullbase.BOOK_COLUMNS.items())},
+    CAST(sum(l_quantity) AS BIGINT) % 101 AS peer_effect_score, count(*) % 101 AS mental_accounting_score,
+    date_diff('day', CAST(min(o_orderdate) AS DATE), CAST(max(l_shipdate) AS DATE)) AS days_since_last_transaction,
+    count(DISTINCT l_returnflag) AS qtde_cartoes_ativos_cadastrados, count(DISTINCT l_linestatus) AS qtde_emissores_distintos
+  FROM lineitem JOIN dated ON l_orderkey = o_orderkey GROUP BY {_STAR}),
+extra AS (
+  SELECT md5(c_name) AS cpf, CAST(event_id % 7 + 1995 AS VARCHAR) AS ref_portfolio,
+    arg_min(floor(value), (ts, floor(value))) AS SCORE_C2BA
+  FROM events JOIN customer ON user_id = c_custkey GROUP BY 1, 2),
+joined AS (
+  SELECT base.*, bad0, bad6, H2PA, HSPA, SCORE_C2BA, book.* EXCLUDE ({_STAR})
+  FROM base LEFT JOIN target USING ({_STAR}) LEFT JOIN book USING ({_STAR}) LEFT JOIN extra USING (cpf, ref_portfolio)
+  WHERE NOT coalesce(tempo_registro_em_meses >= 3 AND ct_tot_pay_03m_trx >= 1, false))
+SELECT cpf, {_STAR}, ref_date, coalesce(SCORE_C2BA::DOUBLE, 0) + 0.0 AS SCORE_C2BA, bad6 AS SConcEver60dP6_100,
+  coalesce(CASE WHEN bad0 = 1 THEN '{fullbase.LABELS[0]}'
+    WHEN H2PA = 0 OR HSPA = 0 OR SCORE_C2BA = 0 THEN '{fullbase.LABELS[1]}'
+    WHEN H2PA = 1 OR HSPA = 1 OR SCORE_C2BA = 1 THEN '{fullbase.LABELS[2]}'
+    WHEN bad6 IS NULL THEN '{fullbase.LABELS[3]}' WHEN deactivated THEN '{fullbase.LABELS[4]}'
+    WHEN idade_em_anos < 18 OR idade_em_anos > 90 THEN '{fullbase.LABELS[5]}' END, 'others') AS exclusao,
+  coalesce(ddd_state, 'others') AS ddd_state, coalesce(digital_account_status, 'others') AS digital_account_status,
+  coalesce(bandeira_cartao_ref, 'others') AS bandeira_cartao_ref,
+  CASE WHEN lower(email_domain) IN ({_mails}) THEN lower(email_domain) ELSE '{presets.EMAIL_DEFAULT}' END AS email_ajuste,
+  CASE {_brand} ELSE '{presets.DEVICE_DEFAULT}' END AS modelo_celular_ref,
+  {_dictionary("instituicao_cartao_ref")} AS agrupamento_instituicao_cartao_ref, {_filled_numeric}, true AS scored
+FROM joined"""
