@@ -478,8 +478,13 @@ def feature_ablation(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def search_trials(spark: SparkSession, folder: str) -> DataFrame:
-    df = _kept(spark, folder)
-    return _report(lambda: search.search(df, "bad", FEATURES, CATEGORICAL, "rf", fit_rows=FIT_ROWS, key=["order_id"]), df)
+    """The forests' search over both feature sets."""
+    sets = {
+        "internal": (["score_a", *BOOK], CATEGORICAL),
+        "internal_and_bureau": (FEATURES, CATEGORICAL),
+    }
+    df = written(modelling(spark, folder), "modelling")
+    return search.halving(df, "bad", sets, ["rf"], ["order_id"], fit_rows=FIT_ROWS)
 
 
 @query
