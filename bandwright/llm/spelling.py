@@ -49,6 +49,8 @@ END = "$"
 STRIDE = 4
 HEAD = 4
 LONGEST = 32
+# Words dealt to a task.
+DEALT = 20_000
 # Of the hashes of long words: an odd base, and rows in a batch.
 BASE, ROWS = np.uint64(0x9E3779B97F4A7C15), 1 << 18
 
@@ -265,5 +267,7 @@ def with_roots(forms: DataFrame) -> DataFrame:
 def variants(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, form, root, n, n_near, form_n) for all words of `docs`."""
     found = written(words(docs, key, text), "words")
+    # Every word is spread over a score of states, so its table is dealt by rows, not by bytes.
+    found = found.repartition(max(1, -(-found.count() // DEALT)))
     forms = written(with_forms(found), "forms")
     return with_roots(forms).select("word", "form", "root", "n", "n_near", "form_n")
