@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasOutputCols
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader,
+    MLWritable, MLWriter,
+)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwright.functions.columns import join_back, unpivot
 from bandwright.operators.quantiles import medians
 from bandwright.operators.screening import value_counts
+from bandwright.sources.session import written
 
-# Levels per fit held as plain parameters of the model; encoding a column with
-# more belongs in a join (see `woe_levels` / `encode_by_join`).
-MAX_LEVELS = 10_000
+# Sub-keys that rows without a level are dealt to in a join.
+NULL_KEYS = 1024
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -54,16 +57,29 @@ def woe_levels(df: DataFrame, target: str, columns: Sequence[str], smoothing: fl
 
 
 def encode_by_join(df: DataFrame, levels: DataFrame, columns: Sequence[str], suffix: str = "_woe") -> DataFrame:
-    """Encode any number of levels; unseen and null values become 0.
+    """Encode any number of levels; unseen and null values become 0."""
+    values = {c: F.col(c).cast("string") for c in columns}
+    return joined_levels(df, levels, values, {c: c + suffix for c in columns})
 
-    Null and unmatched values find no level, so they cost no skewed match.
+
+def joined_levels(
+    df: DataFrame, levels: DataFrame, values: Mapping[str, Column], outputs: Mapping[str, str],
+) -> DataFrame:
+    """`df` with the weight of evidence of each variable's value, 0 where it has no level.
+
+    Spark decides by the table's size between a broadcast and a shuffle. In a shuffle the
+    rows without a value are dealt by a hash of the row, so that no task gets them all; a hot
+    level is split by adaptive execution, as `df` is the outer side.
     """
-    for c in columns:
-        one = levels.filter(F.col("variable") == c).select(
-            F.col("value").alias(f"__{c}"), F.col("woe").alias(f"__{c}_woe")
-        )
-        df = df.join(one, F.col(c).cast("string") == F.col(f"__{c}"), "left")
-        df = df.withColumn(c + suffix, F.coalesce(f"__{c}_woe", F.lit(0.0))).drop(f"__{c}", f"__{c}_woe")
+    lot = F.pmod(F.xxhash64(*df.columns), F.lit(NULL_KEYS)).cast("int") + 1
+    for variable, value in values.items():
+        key, deal, woe = (f"__{variable}_{part}" for part in ("key", "deal", "woe"))
+        one = levels.filter((F.col("variable") == variable) & F.col("value").isNotNull()).select(
+            F.col("value").alias(f"{key}_"), F.lit(0).alias(f"{deal}_"), F.col("woe").alias(woe))
+        known = F.coalesce(value, F.lit(""))
+        df = df.withColumns({key: known, deal: F.when(value.isNull(), lot).otherwise(0)})
+        df = df.join(one, (F.col(key) == F.col(f"{key}_")) & (F.col(deal) == F.col(f"{deal}_")), "left")
+        df = df.withColumn(outputs[variable], F.coalesce(woe, F.lit(0.0))).drop(key, deal, f"{key}_", f"{deal}_", woe)
     return df
 
 
@@ -128,58 +144,56 @@ class WoeEncoder(Estimator, _WoeParams, DefaultParamsReadable, DefaultParamsWrit
         filled = known.withColumns(
             {c: F.coalesce(F.col(c).cast("string"), F.lit(fill.get(c))) for c in columns}
         )
-        levels = woe_levels(filled, label, columns, self.getOrDefault("smoothing"))
-        rows = levels.take(MAX_LEVELS + 1)
-        if len(rows) > MAX_LEVELS:
-            raise ValueError(
-                f"more than {MAX_LEVELS} levels; use woe_levels and encode_by_join instead"
-            )
-        table: dict[str, dict[str, float]] = {c: {} for c in columns}
-        for r in rows:
-            table[r["variable"]][r["value"]] = r["woe"]
-        return WoeModel(inputCols=columns, outputCols=self.getOutputCols(), levels=table, fill=fill)
-
-
-class WoeModel(Model, _WoeParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Replaces each category by its weight of evidence; unseen and null give 0."""
-
-    levels = Param(Params._dummy(), "levels", "weight of evidence by column and level")
+        levels = written(woe_levels(filled, label, columns, self.getOrDefault("smoothing")), "levels")
+        return WoeModel(inputCols=columns, outputCols=self.getOutputCols(), table=levels, fill=fill)
+
+
+class WoeModel(Model, _WoeParams, MLReadable, MLWritable):
+    """Replaces each category by its weight of evidence; unseen and null give 0.
+
+    The levels, of any number, are a table (variable, value, woe): it is saved beside the
+    parameters and joined by `transform`.
+    """
+
     fill = Param(Params._dummy(), "fill", "most frequent level by column")
 
     @keyword_only
-    def __init__(self, *, inputCols=None, outputCols=None, levels=None, fill=None):
+    def __init__(self, *, inputCols=None, outputCols=None, table=None, fill=None):
         super().__init__()
-        self._set(**self._input_kwargs)
+        given = self._input_kwargs
+        self.table = given.pop("table", None)
+        self._set(**given)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        levels, fill = self.getOrDefault("levels"), self.getOrDefault("fill")
-        small = all(len(v) <= 100 for v in levels.values())
-        columns = self.getInputCols()
-        if small:
-            return dataset.withColumns(
-                {
-                    out: _level_case(F.coalesce(F.col(c).cast("string"), F.lit(fill.get(c))), levels[c])
-                    for c, out in zip(columns, self.getOutputCols())
-                }
-            )
-        rows = [(c, v, w) for c in columns for v, w in levels[c].items()]
-        table = dataset.sparkSession.createDataFrame(rows, "variable string, value string, woe double")
-        keys = [f"__key_{c}" for c in columns]
-        out = dataset.withColumns(
-            {k: F.coalesce(F.col(c).cast("string"), F.lit(fill.get(c))) for c, k in zip(columns, keys)}
-        )
-        for c, k, name in zip(columns, keys, self.getOutputCols()):
-            one = table.filter(F.col("variable") == c).select(F.col("value").alias(k), F.col("woe").alias(name))
-            # At most MAX_LEVELS rows, checked when fitting.
-            out = out.join(F.broadcast(one), k, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-        return out.drop(*keys)
-
-
-def _level_case(value: Column, levels: dict[str, float]) -> Column:
-    case = F.when(value.isNull(), 0.0)
-    for level, woe in levels.items():
-        case = case.when(value == level, woe)
-    return case.otherwise(0.0)
+        fill, columns = self.getOrDefault("fill"), self.getInputCols()
+        values = {c: F.coalesce(F.col(c).cast("string"), F.lit(fill.get(c))) for c in columns}
+        return joined_levels(dataset, self.table, values, dict(zip(columns, self.getOutputCols())))
+
+    def write(self) -> _WoeWriter:
+        return _WoeWriter(self)
+
+    @classmethod
+    def read(cls) -> _WoeReader:
+        return _WoeReader()
+
+
+class _WoeWriter(MLWriter):
+    def __init__(self, model: WoeModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.table.write.parquet(f"{path}/levels")
+
+
+class _WoeReader(MLReader):
+    def load(self, path: str) -> WoeModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = WoeModel(table=self.sparkSession.read.parquet(f"{path}/levels"))
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:

@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from bandwright.functions import pvalues
@@ -103,7 +105,7 @@ def test_modes_and_encoder_round_trip(spark, tmp_path):
     assert got == [pytest.approx(a), pytest.approx(b), pytest.approx(a), 0.0]
 
 
-def test_many_levels_take_the_join_form(spark):
+def test_model_and_join_form_agree(spark):
     df = spark.range(3_000).select((F.col("id") % 300).cast("string").alias("v"), (F.col("id") % 2).alias("y"))
     model = encoding.WoeEncoder(inputCols=["v"], outputCols=["w"], labelCol="y", imputed=False).fit(df)
     levels = encoding.woe_levels(df, "y", ["v"])
@@ -111,6 +113,32 @@ def test_many_levels_take_the_join_form(spark):
     assert both.filter(F.abs(F.col("w") - F.col("v_woe")) > 1e-12).count() == 0 and both.count() == 3_000
 
 
+def test_a_hundred_thousand_levels_in_a_pipeline(spark, tmp_path):
+    """One fit, saved, reloaded and used: as many levels as there are, none of them on the driver."""
+    df = spark.range(300_000).select((F.col("id") % 100_000).cast("string").alias("v"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+    encoder = encoding.WoeEncoder(inputCols=["v"], outputCols=["w"], labelCol="y", imputed=False)
+    model = Pipeline(stages=[encoder, VectorAssembler(inputCols=["w"], outputCol="x")]).fit(df)
+    model.write().save(str(tmp_path / "many"))
+    again = PipelineModel.load(str(tmp_path / "many"))
+    assert again.stages[0].table.count() == 100_000 and again.stages[0].uid == model.stages[0].uid
+    a, b = (m.transform(df).select("v", "y", "w") for m in (model, again))
+    assert a.exceptAll(b).isEmpty() and a.select("w").distinct().count() > 1
+    counts = df.groupBy("v").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
+    bad, good = df.agg(F.sum("y"), F.count_if(F.col("y") == 0)).first()
+    expected = counts.select("v", (
+        F.ln((F.col("bad") + 1) / (bad + 2)) - F.ln((F.col("n") - F.col("bad") + 1) / (good + 2))).alias("e"))
+    assert again.transform(df).join(expected, "v").filter(F.abs(F.col("w") - F.col("e")) > 1e-9).isEmpty()
+
+
+def test_rows_without_a_level_are_dealt(spark):
+    """Null keys spread over many sub-keys when the levels are shuffled, and give 0."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.lit("a")).alias("v"))
+    levels = spark.createDataFrame([("v", "a", 0.5), ("v", None, 9.0), ("v", "", 8.0)], "variable string, value string, woe double")
+    out = encoding.joined_levels(df, levels.hint("merge"), {"v": F.col("v")}, {"v": "w"})
+    assert out.columns == ["id", "v", "w"] and out.count() == 20_000
+    assert {(r["v"], r["w"]) for r in out.select("v", "w").distinct().collect()} == {("a", 0.5), (None, 0.0)}
+
+
 def test_class_weights(spark):
     df = table(spark, {("a", 0): 30, ("a", 1): 10, ("b", None): 3})
     assert {r["y"]: r["weight"] for r in encoding.class_weights(df, "y").collect()} == {0: pytest.approx(40 / 60), 1: 2.0}
