@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwright.functions.columns import join_back, unpivot
-from bandwright.operators.quantiles import medians
+from bandwright.operators.profile import medians
 from bandwright.operators.screening import value_counts
 from bandwright.sources.session import written
 

@@ -58,6 +58,12 @@ def drop_sparse(df: DataFrame, threshold: float = 0.95, keep: Sequence[str] = ()
     return df.drop(*names)
 
 
+def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact column medians as literals: one value per column."""
+    rows = exact_quantiles(df, columns, [0.5]).collect()
+    return {r["variable"]: r["quantiles"][0] if r["quantiles"] else None for r in rows}
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std (sample), min, quartiles and max per group and column."""
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], by)

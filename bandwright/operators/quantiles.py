@@ -1,247 +1,84 @@
-"""Exact linear-interpolation quantiles that hold at any size.
+"""Exact linear-interpolation quantiles at any size and for any number of groups.
 
-`percentile` keeps every distinct value of a group in one buffer. It is used
-only behind a check of the distinct counts; larger columns are narrowed instead:
-a bounded sketch brackets each wanted rank, one pass counts what lies below the
-bracket, and once a bracket is small its values are ranked exactly.
+One aggregate sketches every group and brackets each wanted rank between two values of the
+sketch; its error is bounded, so the bracket always holds the rank. A second pass counts, for
+each bracket, the values below it and how often each value inside occurs. Running totals
+over these counts then find the exact values. Brackets are a table that the values are
+joined with; nothing about groups or values reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.functions.columns import chunks, finite, unpivot
+from bandwright.functions.columns import INF, finite, join_back, unpivot
+from bandwright.operators.running import running_totals
+from bandwright.sources.session import written
 
-# Distinct values one percentile buffer, or one ranked bracket, may hold; with the
-# columns of a pass this bounds a task's memory to a few hundred megabytes.
-BUFFER_LIMIT = 250_000
-COLUMNS_PER_PASS = 20
+# Of a group of more than SKETCH values a bracket holds about SLACK * 2 / SKETCH; the error
+# of the sketch is a tenth of 1 / SKETCH. Smaller groups are counted whole.
 SKETCH = 10_000
-# Brackets (groups x columns x probabilities) small enough to broadcast.
-MAX_BROADCAST = 100_000
+SLACK = 2
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    limit: int = BUFFER_LIMIT,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
-    """(by..., variable, quantiles array, n) over the finite values of each column."""
-    small, large = _split_by_size(df, columns, by, limit)
-    parts = []
-    for batch in chunks(small, COLUMNS_PER_PASS):
-        parts.append(percentile_arrays(df, batch, probabilities, by))
-    if large:
-        parts.append(_narrowed(df, large, list(probabilities), list(by), limit))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(by..., variable, quantiles array, n) over the finite values of each column.
 
-
-def percentile_arrays(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()
-) -> DataFrame:
-    """The buffered form; for columns whose distinct count is known to be bounded."""
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = finite(c)
-        aggregates += [F.percentile(x, probs).alias(f"q{i}"), F.count(x).alias(f"n{i}")]
-    wide = df.groupBy(*by).agg(*aggregates)
-    rows = [
-        F.struct(F.lit(c).alias("variable"), F.col(f"q{i}").alias("quantiles"), F.col(f"n{i}").alias("n"))
-        for i, c in enumerate(columns)
-    ]
-    return wide.select(*by, F.inline(F.array(*rows)))
-
-
-def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    """Column medians as literals (O(columns) values)."""
-    rows = exact_quantiles(df, columns, [0.5]).collect()
-    return {r["variable"]: r["quantiles"][0] if r["quantiles"] else None for r in rows}
-
-
-def _split_by_size(df, columns, by, limit):
-    small, large = [], []
-    for batch in chunks(columns, COLUMNS_PER_PASS):
-        sizes = df.groupBy(*by).agg(
-            *[F.approx_count_distinct(finite(c)).alias(f"d{i}") for i, c in enumerate(batch)]
-        )
-        top = sizes.agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(batch))]).first()
-        for i, c in enumerate(batch):
-            (small if (top[i] or 0) <= limit else large).append(c)
-    return small, large
-
-
-def _halve(open_ones, bracketed, keys):
-    """Cut each bracket at the middle of its values and keep the half that holds the ranks.
-
-    Where the two wanted ranks lie on both sides, the bracket becomes the largest value
-    below and the smallest above: two values, however often they occur.
+    Groups without a value have null quantiles and n = 0. `rows` bounds the counted values in
+    one range of the running totals.
     """
-    own = [(*w["key"], w["lo"], w["hi"], w["p"]) for w in open_ones]
-    inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    ends = bracketed(own, ["p"]).filter(inside).groupBy(*keys, "p").agg(
-        F.min("value").alias("least"), F.max("value").alias("most")
-    )
-    found = {(tuple(r[k] for k in keys), r["p"]): r for r in ends.collect()}
-    cuts = []
-    for w in open_ones:
-        r = found[(w["key"], w["p"])]
-        w["lo"], w["hi"] = r["least"], r["most"]
-        if w["lo"] < w["hi"]:
-            middle = w["lo"] + (w["hi"] - w["lo"]) / 2
-            # Neighbouring doubles have no middle of their own.
-            cuts.append((*w["key"], w["lo"], w["hi"], w["p"], middle if middle < w["hi"] else w["lo"]))
-    if not cuts:
-        return
-    left = F.when(inside & (F.col("value") <= F.col("cut")), F.col("value"))
-    right = F.when(inside & (F.col("value") > F.col("cut")), F.col("value"))
-    halves = bracketed(cuts, ["p", "cut"]).groupBy(*keys, "p").agg(
-        F.count(left).alias("n"), F.max(left).alias("last"), F.min(right).alias("next")
-    )
-    counted = {(tuple(r[k] for k in keys), r["p"]): r for r in halves.collect()}
-    for w in open_ones:
-        r = counted.get((w["key"], w["p"]))
-        if r is None:
-            continue
-        upto = w["below"] + r["n"]
-        if w["last"] < upto:
-            w["hi"], w["inside"] = r["last"], r["n"]
-        elif w["first"] >= upto:
-            w["lo"], w["below"], w["inside"] = r["next"], upto, w["inside"] - r["n"]
-        else:
-            w["lo"], w["hi"], w["done"] = r["last"], r["next"], True
-
-
-def _narrowed(df, columns, probabilities, by, limit):
-    spark = df.sparkSession
+    by, probabilities = list(by), [float(p) for p in probabilities]
     keys = [*by, "variable"]
     narrow = df.select(*by, *[finite(c).alias(c) for c in columns])
-    values = unpivot(narrow, by, columns, "double").filter(F.col("value").isNotNull())
-    key_types = ", ".join(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in keys)
-
-    # One row per (group, column, probability): report-sized, kept on the driver.
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()
-    wanted = []
-    for r in sizes:
-        for p in probabilities:
-            at = (r["n"] - 1) * p
-            wanted.append(
-                {
-                    "key": tuple(r[k] for k in keys), "p": p, "n": r["n"], "at": at,
-                    "first": math.floor(at), "last": math.ceil(at),
-                    "lo": -math.inf, "hi": math.inf, "below": 0, "inside": r["n"],
-                }
-            )
-
-    def bracketed(brackets, extra=()):
-        """Values next to every bracket of their group; `extra` columns ride along."""
-        fields = [key_types, "lo double", "hi double", *[f"{c} double" for c in extra]]
-        rows = list(brackets)
-        frame = spark.createDataFrame(rows, ", ".join(fields))
-        hinted = F.broadcast(frame) if len(rows) <= MAX_BROADCAST else frame
-        joined = values.join(hinted, [values[k].eqNullSafe(frame[k]) for k in keys])
-        return joined.select(*[frame[k] for k in keys], "lo", "hi", *extra, "value")
-
-    inside_bracket = F.col("value").between(F.col("lo"), F.col("hi"))
-    slack = 2.0
-    while True:
-        open_ones = [w for w in wanted if w["inside"] > limit and w["lo"] < w["hi"] and not w.get("done")]
-        if not open_ones:
-            break
-        # Sketch around both wanted ranks (one sketch per distinct bracket: the first
-        # round has one per group), then count exactly.
-        fractions = {}
-        for w in open_ones:
-            left = (w["first"] - w["below"]) / w["inside"] - slack / SKETCH
-            right = (w["last"] - w["below"] + 1) / w["inside"] + slack / SKETCH
-            fractions[(w["key"], w["p"])] = (max(left, 0.0), min(right, 1.0))
-        distinct = sorted({f for pair in fractions.values() for f in pair})
-        brackets = {(*w["key"], w["lo"], w["hi"]) for w in open_ones}
-        inside = bracketed(brackets).filter(inside_bracket)
-        found: dict[tuple, dict] = {}
-        for part in chunks(distinct, 200):
-            sketch = inside.groupBy(*keys, "lo", "hi").agg(
-                F.percentile_approx("value", [float(f) for f in part], SKETCH * 10).alias("s")
-            )
-            for r in sketch.collect():
-                found.setdefault(tuple(r[k] for k in [*keys, "lo", "hi"]), {}).update(zip(part, r["s"]))
-        for w in open_ones:
-            left, right = fractions[(w["key"], w["p"])]
-            s = found[(*w["key"], w["lo"], w["hi"])]
-            w["try"] = (
-                w["lo"] if left <= 0.0 else s[left], w["hi"] if right >= 1.0 else s[right]
-            )
-        tries = [(*w["key"], *w["try"], w["p"]) for w in open_ones]
-        counted = bracketed(tries, ["p"]).groupBy(*keys, "p").agg(
-            F.count_if(F.col("value") < F.col("lo")).alias("below"),
-            F.count_if(inside_bracket).alias("inside"),
-        )
-        exact = {(tuple(r[k] for k in keys), r["p"]): r for r in counted.collect()}
-        moved = False
-        for w in open_ones:
-            r = exact[(w["key"], w["p"])]
-            holds = r["below"] <= w["first"] and w["last"] < r["below"] + r["inside"]
-            if holds and r["inside"] < w["inside"]:
-                w["lo"], w["hi"] = w["try"]
-                w["below"], w["inside"] = r["below"], r["inside"]
-                moved = True
-        if not moved:
-            # Sketches no longer help (many ties, or none at all): halve by value instead.
-            _halve([w for w in open_ones if w["inside"] > limit], bracketed, keys)
-
-    # A bracket of one value needs no ranking; the others are ranked after ties collapse.
-    rows = [
-        (*w["key"], w["p"], w["lo"], w["hi"], w["below"], w["first"], w["last"], w["at"], w["n"])
-        for w in wanted
-    ]
-    state = spark.createDataFrame(
-        rows,
-        f"{key_types}, p double, lo double, hi double, below long, first long, last long, "
-        "at double, n long",
-    )
-    point = F.col("lo") == F.col("hi")
-    unranked = [w for w in wanted if w["lo"] < w["hi"]] or wanted
-    ties = (
-        bracketed([(*w["key"], w["lo"], w["hi"], w["p"]) for w in unranked], ["p"])
-        .filter(inside_bracket)
-        .groupBy(*keys, "p", "value")
-        .agg(F.count(F.lit(1)).alias("m"))
-    )
-    order = Window.partitionBy(*keys, "p").orderBy("value")
-    ranked = ties.withColumn(
-        "upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    on = [ranked[k].eqNullSafe(state[k]) for k in [*keys, "p"]]
-    placed = state.join(ranked, on, "left").select(
-        *[state[k] for k in [*keys, "p"]], "lo", "hi", "below", "first", "last", "at", "n", "value", "upto"
-    )
-    reach = F.col("below") + F.col("upto")
-    picked = placed.groupBy(*keys, "p").agg(
-        F.min(F.when(reach > F.col("first"), F.col("value"))).alias("a"),
-        F.min(F.when(reach > F.col("last"), F.col("value"))).alias("b"),
-        F.max(F.when(point, F.col("lo"))).alias("same"),
-        F.max(F.col("at") - F.col("first")).alias("part"),
-        F.max("n").alias("n"),
-    )
-    value = F.coalesce(F.col("same"), F.col("a") + (F.col("b") - F.col("a")) * F.col("part"))
-    slots = {p: i for i, p in enumerate(probabilities)}
-    ordered = F.array_sort(
-        F.collect_list(
-            F.struct(
-                F.coalesce(*[F.when(F.col("p") == p, F.lit(i)) for p, i in slots.items()]).alias("i"),
-                value.alias("v"),
-            )
-        )
-    )
-    return picked.groupBy(*keys).agg(
-        F.transform(ordered, lambda s: s["v"]).alias("quantiles"), F.max("n").alias("n")
+    values = unpivot(narrow, by, columns, "double")
+    brackets = written(_brackets(values, keys, probabilities), "brackets")
+    counted = _counted(values.filter(F.col("value").isNotNull()), brackets, keys)
+    placed = running_totals(counted, [*keys, "slot"], "value", {"upto": "m"}, rows)
+    at = (F.col("n") - 1) * F.col("p")
+    # The row that counts what lies below has no value, and never reaches a wanted rank.
+    picked = placed.groupBy(*keys, "slot", "p", "n").agg(
+        F.min(F.when(F.col("upto") > F.floor(at), F.col("value"))).alias("a"),
+        F.min(F.when(F.col("upto") > F.ceil(at), F.col("value"))).alias("b"),
     )
+    value = F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))
+    lists = picked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("slot", value.alias("v")))).alias("found"))
+    whole = brackets.select(*keys, "n")
+    found = lists.select(*[F.col(k).alias(f"_{k}") for k in keys], F.transform("found", lambda s: s["v"]).alias("quantiles"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return whole.join(found, same, "left").select(*keys, "quantiles", "n")
+
+
+def _brackets(values: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """(keys..., n, brackets): for each probability the values between which its rank lies."""
+    ends = [(p - SLACK / SKETCH, p + SLACK / SKETCH) for p in probabilities]
+    inner = sorted({e for pair in ends for e in pair if 0 < e < 1})
+    place = {e: i for i, e in enumerate(inner)}
+    sketch = F.percentile_approx("value", inner, SKETCH * 10) if inner else F.lit(None).cast("array<double>")
+    sized = values.groupBy(*keys).agg(F.count("value").alias("n"), sketch.alias("_s"))
+
+    def end(e: float, beyond: float) -> Column:
+        known = F.col("_s")[place[e]] if e in place else F.lit(beyond)
+        return F.when(F.col("n") > SKETCH, known).otherwise(F.lit(beyond))
+
+    parts = [
+        F.struct(F.lit(i).alias("slot"), F.lit(p).alias("p"), end(lo, -INF).alias("lo"), end(hi, INF).alias("hi"))
+        for i, (p, (lo, hi)) in enumerate(zip(probabilities, ends))
+    ]
+    return sized.select(*keys, "n", F.array(*parts).alias("brackets"))
+
+
+def _counted(values: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., slot, p, n, value, m): how often each value inside a bracket occurs; without
+    a value, how many lie below."""
+    beside = join_back(values, brackets, keys)
+    reached = F.filter("brackets", lambda b: F.col("value") <= b["hi"])
+    spread = F.transform(reached, lambda b: F.struct(
+        b["slot"].alias("slot"), b["p"].alias("p"), F.when(F.col("value") >= b["lo"], F.col("value")).alias("value")))
+    each = beside.select(*keys, "n", F.explode(spread).alias("_b")).select(*keys, "n", "_b.*")
+    return each.groupBy(*keys, "slot", "p", "n", "value").agg(F.count(F.lit(1)).alias("m"))

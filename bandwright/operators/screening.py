@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.columns import INF, chunks, count_if, finite, join_back, log_ratio, share, unpivot
 from bandwright.functions.pvalues import chi2_tail_col, t_two_sided_col
-from bandwright.operators.quantiles import medians
+from bandwright.operators.profile import medians
 
 BATCH = 100
 

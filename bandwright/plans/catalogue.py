@@ -18,7 +18,6 @@ from bandwright.operators import (
     allrelevant, attribution, cleaning, encoding, gains, models, monitoring, panel, profile,
     ranking, screening, search, shares,
 )
-from bandwright.operators.quantiles import medians
 from bandwright.plans import flows, fullbase
 from bandwright.plans.frames import (
     BOOK, CATEGORICAL, FEATURES, cards, doc_panel, modelling, monitored, table,
@@ -225,7 +224,7 @@ def median_mode_impute(spark: SparkSession, folder: str) -> DataFrame:
     rows = modelling(spark, folder).select(
         "order_id", "am_avg_a", F.nullif("segment", F.lit("BUILDING")).alias("segment")
     )
-    middle = medians(rows, ["am_avg_a"])["am_avg_a"]
+    middle = profile.medians(rows, ["am_avg_a"])["am_avg_a"]
     common = encoding.mode_values(rows, ["segment"])["segment"]
     return rounded(rows.fillna({"am_avg_a": middle, "segment": common}))
 

@@ -11,6 +11,7 @@ from bandwright.functions.banding import snap_up
 from bandwright.operators import cleaning, profile, shares
 from bandwright.operators import quantiles
 from bandwright.operators.quantiles import exact_quantiles
+from bandwright.operators.running import running_totals
 
 INF = float("inf")
 
@@ -53,14 +54,15 @@ def test_wide_profile_is_batched(spark):
     assert out.count() == 450 and out.filter("zeros = 3").first()["variable"] == "c0"
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 40])
-def test_quantiles_match_numpy_on_both_paths(spark, limit):
+@pytest.mark.parametrize("rows, sketch", [(1_000_000, 10_000), (40, 10_000), (40, 200), (7, 200)])
+def test_quantiles_match_numpy(spark, monkeypatch, rows, sketch):
+    monkeypatch.setattr(quantiles, "SKETCH", sketch)
     dice = random.Random(7)
     data = [(g, dice.choice([dice.gauss(0, 10), 5.0, float(dice.randint(0, 3))])) for g in "ab" for _ in range(1_500)]
     data += [("c", 1.0), ("c", None), ("a", INF), (None, 2.0)]
     df = spark.createDataFrame(data, "g string, x double").repartition(5)
     probs = [i / 10 for i in range(11)]
-    out = {r["g"]: r for r in exact_quantiles(df, ["x"], probs, ["g"], limit=limit).collect()}
+    out = {r["g"]: r for r in exact_quantiles(df, ["x"], probs, ["g"], rows=rows).collect()}
     for g in ("a", "b", "c", None):
         values = [x for k, x in data if k == g and x is not None and math.isfinite(x)]
         assert out[g]["n"] == len(values)
@@ -96,12 +98,32 @@ def test_shares_sum_to_one_hundred_without_nulls(spark):
     assert shares.class_cube(df, "cohort", ["a"]).agg(F.sum("n")).first()[0] == 5
 
 
-def test_quantiles_narrow_by_halving_where_sketches_do_not_help(spark, monkeypatch):
-    """A sketch this coarse never narrows; what is left must still be small and exact."""
-    monkeypatch.setattr(quantiles, "SKETCH", 1)
+@pytest.mark.parametrize("sketch", [1, 50, 10_000])
+def test_quantiles_of_ties_and_extremes(spark, monkeypatch, sketch):
+    """However coarse the sketch, the brackets hold the ranks."""
+    monkeypatch.setattr(quantiles, "SKETCH", sketch)
     dice = np.random.default_rng(8)
     values = np.concatenate([dice.normal(size=400), np.full(300, 0.25), [1e300, -1e300], np.nextafter(0.25, [0, 1])])
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     probs = [0.0, 0.1, 0.5, 0.55, 0.9, 1.0]
-    found = exact_quantiles(df, ["x"], probs, limit=20).first()["quantiles"]
+    found = exact_quantiles(df, ["x"], probs, rows=20).first()["quantiles"]
     assert found == pytest.approx(list(np.quantile(values, probs)))
+
+
+def test_quantiles_of_a_million_groups(spark):
+    df = spark.range(2_500_000).select((F.col("id") % 1_000_000).alias("g"), F.col("id").cast("double").alias("x"))
+    out = exact_quantiles(df, ["x"], [0.5], ["g"])
+    middle = F.when(F.col("g") < 500_000, F.col("g") + 1_000_000).otherwise(F.col("g") + 500_000).cast("double")
+    assert out.filter(F.col("quantiles")[0] == middle).count() == 1_000_000
+
+
+@pytest.mark.parametrize("rows", [10_000, 200, 20, 4])
+def test_running_totals_in_one_to_many_levels(spark, rows):
+    dice = random.Random(2)
+    data = [(k, i, dice.randint(0, 9)) for k in ("a", "b", None) for i in range(dice.randint(100, 500))]
+    df = spark.createDataFrame(data, "k string, i int, v long").repartition(3)
+    got = {(r["k"], r["i"]): r["s"] for r in running_totals(df, ["k"], "i", {"s": "v"}, rows).collect()}
+    expected, total = {}, {}
+    for k, i, v in data:
+        total[k] = expected[k, i] = total.get(k, 0) + v
+    assert got == expected
