@@ -3,8 +3,9 @@
 The windows of all items (13 words; a shorter item is one window) form a hash table that
 is broadcast. Tasks hash every window of a document, look the hashes up, and compare the
 words of each hit with the item's, so that equal hashes of different words count for
-nothing. Items are broadcast in blocks of at most BLOCK_BYTES of text: the usual benchmark
-is one block, a larger one takes one pass over the documents for each block.
+nothing. Items are broadcast in blocks of about BLOCK_BYTES of text, whose table (sorted
+hashes, places in one blob of words) takes less than ten times as many bytes: the usual
+benchmark is one block, a larger one takes one pass over the documents for each block.
 
 Null texts have no words and are never contaminated. Null items, items without words and
 items without an id are no items. Repeated documents are judged one by one; repeated items
@@ -14,6 +15,7 @@ count once. Input columns that carry a result's name are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,65 +27,92 @@ from bandwright.llm.words import NOT_ALNUM, Words, plain, slices, whole_hash, wi
 from bandwright.sources.session import written
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SHARE = 20
 RESULTS = ["n_words", "n_hit", "items", "contaminated"]
 _STATE = {"_places": "array<bigint>", "_names": "array<string>", "_words": "bigint"}
 _BITS = 20
 
-Windows = dict[int, dict[int, dict[tuple[bytes, ...], list[str]]]]
+class Windows(NamedTuple):
+    """Windows of one width, by ascending hash: their item, and their words in the block's blob.
 
+    Each takes 20 bytes; the blob holds the items' words in lower case, a space between them.
+    """
+
+    hashes: np.ndarray
+    items: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+class Block(NamedTuple):
+    names: list[str]
+    blob: bytes
+    widths: dict[int, Windows]
 
-def item_windows(items: list[tuple[object, str]], window: int = WINDOW) -> Windows:
-    """Width -> hash -> words -> ids of the items that hold this window."""
-    found: Windows = {}
+
+def item_windows(items: list[tuple[object, str]], window: int = WINDOW) -> Block:
+    """The windows of all items. Items of one name are one item; a window repeated inside an item counts once."""
+    numbers: dict[str, int] = {}
+    blob, size, parts = [], 0, {}
     for key, text in items:
         own = words(plain(pa.array([text])), NOT_ALNUM)
         n = len(own.hashes)
-        width = min(window, n)
         if not n:
             continue
-        hashes = window_hashes(own.hashes, width) if n >= window else [whole_hash(own.hashes)]
-        for i, value in enumerate(hashes):
-            ids = found.setdefault(width, {}).setdefault(int(value), {}).setdefault(own.text(i, i + width), [])
-            if str(key) not in ids:
-                ids.append(str(key))
-    return found
+        width = min(window, n)
+        hashes = window_hashes(own.hashes, width) if n >= window else np.array([whole_hash(own.hashes)], np.uint64)
+        _, once = np.unique(hashes, return_index=True)
+        item = numbers.setdefault(str(key), len(numbers))
+        lengths = (own.end - own.start).astype(np.int64)
+        starts = size + np.cumsum(lengths + 1) - lengths - 1
+        ends = starts + lengths
+        blob.append(b" ".join(own.text(0, n)) + b" ")
+        size += len(blob[-1])
+        parts.setdefault(width, []).append(
+            (hashes[once], np.full(len(once), item, np.int32), starts[once].astype(np.int32), ends[once + width - 1].astype(np.int32)))
+    widths = {}
+    for width, found in parts.items():
+        arrays = [np.concatenate(column) for column in zip(*found)]
+        order = np.argsort(arrays[0], kind="stable")
+        widths[width] = Windows(*(x[order] for x in arrays))
+    return Block(list(numbers), b"".join(blob), widths)
 
 
 class Scanner:
     """Looks the windows of texts up in one block of items."""
 
-    def __init__(self, table: Windows):
-        self.table = table
-        self.keys, self.seen = {}, {}
-        for width, entries in table.items():
-            self.keys[width] = np.sort(np.fromiter(entries, np.uint64, len(entries)))
+    def __init__(self, block: Block):
+        self.block = block
+        self.seen = {}
+        for width, own in block.widths.items():
             self.seen[width] = np.zeros(1 << _BITS, bool)
-            self.seen[width][self.keys[width] >> np.uint64(64 - _BITS)] = True
+            self.seen[width][own.hashes >> np.uint64(64 - _BITS)] = True
 
     def candidates(self, hashes: np.ndarray, width: int) -> np.ndarray:
+        """(place, first window, one past the last window) of the hashes that the block has."""
         values = window_hashes(hashes, width)
         at = np.flatnonzero(self.seen[width][values >> np.uint64(64 - _BITS)])
-        keys = self.keys[width]
-        spot = np.minimum(np.searchsorted(keys, values[at]), len(keys) - 1)
-        at = at[keys[spot] == values[at]]
-        return np.stack([at, values[at].view(np.int64)], axis=1)
+        keys = self.block.widths[width].hashes
+        first, last = (np.searchsorted(keys, values[at], side) for side in ("left", "right"))
+        return np.stack([at, first, last], axis=1)[first < last]
 
     def hits(self, found: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words lie in a verified window, and the items met per row."""
         edges = np.zeros(len(found.start) + 1, np.int64)
         items: dict[int, set[str]] = {}
-        for width, entries in self.table.items():
-            for at, value in self.candidates(found.hashes, width).tolist():
+        names, blob = self.block.names, self.block.blob
+        for width, own in self.block.widths.items():
+            for at, first, last in self.candidates(found.hashes, width).tolist():
                 row = int(np.searchsorted(found.first, at, "right")) - 1
                 if at + width > found.first[row + 1]:
                     continue
-                ids = entries[value % 2**64].get(found.text(at, at + width))
-                if ids:
+                text = b" ".join(found.text(at, at + width))
+                met = {names[own.items[k]] for k in range(first, last) if blob[own.starts[k]:own.ends[k]] == text}
+                if met:
                     edges[at] += 1
                     edges[at + width] -= 1
-                    items.setdefault(row, set()).update(ids)
+                    items.setdefault(row, set()).update(met)
         return edges.cumsum()[:-1] > 0, items
 
 

@@ -69,3 +69,23 @@ def test_edge_rows(spark, documents):
     assert decontaminate.mark(documents, none).where("n_hit > 0 or contaminated").count() == 0
     assert decontaminate.mark(documents.limit(0), bench).collect() == []
     assert decontaminate.remove_spans(documents, bench).where("doc_id = 1").first().text is None
+
+
+def test_the_table_stays_below_ten_bytes_a_byte():
+    """Hashes and places, not the words of each window; equal hashes are told apart by the words."""
+    import random
+
+    draw = random.Random(1)
+    vocabulary = ["".join(draw.choices("etaoinshr", k=draw.randint(2, 9))) for _ in range(5_000)]
+    items = [(i, " ".join(draw.choices(vocabulary, k=400))) for i in range(400)]
+    block = decontaminate.item_windows(items)
+    table = len(block.blob) + sum(x.nbytes for own in block.widths.values() for x in own)
+    assert table < 10 * sum(len(t) for _, t in items)
+
+
+def test_a_window_in_many_items(spark):
+    shared = " ".join(f"w{i}" for i in range(13))
+    benchmark = spark.createDataFrame([(i, f"{shared} own{i}") for i in range(500)] + [(7, "again " + shared)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, f"a {shared} b"), (2, shared.replace("w3", "x3"))], "doc_id int, text string")
+    rows = {r.doc_id: r for r in decontaminate.mark(docs, benchmark).collect()}
+    assert len(rows[1]["items"]) == 500 and rows[1].n_hit == 13 and rows[2]["items"] == []
