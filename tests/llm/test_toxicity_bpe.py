@@ -109,3 +109,17 @@ def test_edge_rows(spark, documents):
     fitted = toxicity.fit(plain(pa.array(["a b", "c d"] * 40)), [1, 0] * 40)
     scores = toxicity.scores(plain(pa.array(["a b", "c d", "", None])), fitted)
     assert scores[0] > 0.5 > scores[1] and scores[2] == scores[3]
+
+
+def test_repeated_ids_keep_the_bound(spark, monkeypatch):
+    """A hot id in both tables doesn't multiply into the fit."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 200)
+    docs = spark.range(3_000).selectExpr(
+        "if(id % 3 = 0, 7, id) AS doc_id", "concat('text ', id, if(id % 2 = 0, ' vile', ' kind')) AS text")
+    labels = spark.range(3_000).selectExpr("if(id % 3 = 0, 7, id) AS doc_id", "cast(id % 2 = 0 AS int) AS toxic")
+    seen, fit = [], toxicity._row_bound
+    monkeypatch.setattr(toxicity, "_row_bound", lambda rows: seen.append(fit(rows)) or seen[-1])
+    weights = toxicity.train(docs, labels)
+    assert seen[0].count() <= 300 and len(weights.places) >= 0
+    same = spark.range(2_000).selectExpr("1 AS _key", "'one text' AS _text", "1 AS _label")
+    assert fit(same).count() <= 1
