@@ -287,13 +287,26 @@ def annotate(docs: DataFrame, model: Sequence[float] | None, text: str = "text")
     return out.withColumns({"base_spans": F.col("_base"), "spans": F.concat("_base", more)}).drop("_base")
 
 
+def _united(spans: Column) -> Column:
+    """Spans by start, those that overlap joined to one."""
+
+    def grown(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(s["start"] < last["end"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(
+            F.concat(done, F.array(s)))
+
+    return F.aggregate(F.slice(spans, F.lit(2), F.size(spans)), F.slice(spans, 1, 1), grown)
+
+
 def redact(docs: DataFrame, model: Sequence[float] | None, text: str = "text") -> DataFrame:
-    """`docs` with every span replaced by its kind in brackets; overlapping spans, which
-    only base kinds of different patterns can be, are replaced from the earliest on."""
+    """`docs` with every span replaced by its kind in brackets. Overlapping spans, which only
+    base kinds of different patterns can be, are one: from the first start to the last end,
+    under the kind of the earliest (of equal starts the shorter one)."""
     own = F.coalesce(F.col(text), F.lit(""))
     marked = annotate(docs.withColumnsRenamed({c: f"_own_{c}" for c in RESULTS}), model, text)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    marked = marked.withColumn("_cuts", F.when(F.size("spans") > 0, _apart(by_start)))
+    marked = marked.withColumn("_cuts", F.when(F.size("spans") > 0, _united(by_start)))
     pieces = F.transform("_cuts", lambda s, i: F.concat(
         F.substring(own, F.when(i > 0, F.col("_cuts")[i - 1]["end"]).otherwise(0) + 1,
                     s["start"] - F.when(i > 0, F.col("_cuts")[i - 1]["end"]).otherwise(0)),

@@ -183,3 +183,13 @@ def test_domains_of_any_length(spark):
     texts = ["a@b" + ".c" * n + " x@y.z" for n in (499, 501, 700, 50_000)]
     for r in pii.annotate(spark.createDataFrame([(t,) for t in texts], "text string"), None).collect():
         assert [(s.kind, s.start, s.end) for s in r.base_spans] == brute(r.text)
+
+
+def test_overlapping_spans_go_whole(spark):
+    """No tail of a span stays when another one begins inside it."""
+    rows = [(1, "call +4915112345678@x.de now"), (2, "4111 1111 1111 1111@x.com."), (3, "a@b.de and 10.0.0.1"), (4, None), (5, "none")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    out = {r.doc_id: r.text for r in pii.redact(docs, None).collect()}
+    assert "x.de" not in out[1] and "5678" not in out[1] and out[1].startswith("call [") and out[1].endswith("] now")
+    assert "x.com" not in out[2] and "1111" not in out[2] and out[2].endswith("].")
+    assert out[3] == "[EMAIL] and [IP]" and out[4] is None and out[5] == "none"
