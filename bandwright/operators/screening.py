@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from bandwright.functions.columns import INF, chunks, count_if, finite, join_back, log_ratio, share, unpivot
 from bandwright.functions.pvalues import chi2_tail_col, t_two_sided_col
 from bandwright.operators.profile import medians
+from bandwright.sources.session import written
 
 BATCH = 100
 
@@ -236,23 +237,64 @@ def cut_range(low: float, high: float, q: int) -> list[float]:
 # --- correlation between features ---------------------------------------------------------
 
 
+# Columns of a block: a task holds the products of two blocks.
+GRAM_COLUMNS = 1_000
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str], fill: float = 0.0) -> DataFrame:
-    """(col_a, col_b, abs_r) for every unordered pair.
+    """(col_a, col_b, abs_r) for every unordered pair, in the order of `columns`.
 
-    The products are summed on the executors (columns x columns, whatever the
-    number of rows); only that matrix reaches the driver. Missing and infinite
-    values are filled first. A constant column has no correlation (null).
+    Missing and infinite values are filled first. A constant column has no correlation
+    (null). Two passes: means and ranges, of which one number for each column reaches the
+    driver, then the products about the means. Each task sums its own products as a matrix,
+    for one pair of column blocks at a time, and gives them out as rows; sums and pairs
+    stay on the executors.
     """
     filled = df.select(*[F.coalesce(finite(c), F.lit(fill)).alias(c) for c in columns])
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(filled).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    pairs = [
-        (a, b, None if matrix[i, j] != matrix[i, j] else float(abs(matrix[i, j])))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i < j
+    means, constant = {}, set()
+    for batch in chunks(columns, 200):
+        row = filled.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(batch) for n, f in (("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+        for i, c in enumerate(batch):
+            means[c] = row[f"m{i}"] or 0.0
+            if row[f"lo{i}"] == row[f"hi{i}"]:
+                constant.add(c)
+    blocks = list(chunks(list(columns), GRAM_COLUMNS))
+    parts = [
+        _products(filled, left, right, means, i * GRAM_COLUMNS, j * GRAM_COLUMNS)
+        for i, left in enumerate(blocks) for j, right in enumerate(blocks) if i <= j
     ]
-    return df.sparkSession.createDataFrame(pairs, "col_a string, col_b string, abs_r double")
+    products = reduce(DataFrame.unionByName, parts).groupBy("i", "j").agg(F.sum("g").alias("g"))
+    products = written(products, "products")
+    own = products.filter("i = j").select("i", F.col("g").alias("own"))
+    names = df.sparkSession.createDataFrame(
+        [(i, c, c in constant) for i, c in enumerate(columns)], "i long, name string, flat boolean")
+    known = names.join(own, "i")
+    a, b = (known.select(
+        F.col("i").alias(k), F.col("name").alias(f"col_{n}"), F.col("own").alias(f"own_{n}"), F.col("flat").alias(f"flat_{n}"))
+        for k, n in (("i", "a"), ("j", "b")))
+    varied = ~F.col("flat_a") & ~F.col("flat_b") & (F.col("own_a") > 0) & (F.col("own_b") > 0)
+    r = F.least(F.abs(F.col("g")) / F.sqrt(F.col("own_a")) / F.sqrt(F.col("own_b")), F.lit(1.0))
+    return products.filter("i < j").join(a, "i").join(b, "j").select("col_a", "col_b", F.when(varied, r).alias("abs_r"))
+
+
+def _products(
+    df: DataFrame, left: Sequence[str], right: Sequence[str], means: dict[str, float], first: int, second: int,
+) -> DataFrame:
+    """(i, j, g): each task's sums of products about the means, on and above the diagonal."""
+    used = list(dict.fromkeys([*left, *right]))
+    shift = np.array([means[c] for c in used])
+    rows, cols = [used.index(c) for c in left], [used.index(c) for c in right]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(rows), len(cols)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
+            total += x[:, rows].T @ x[:, cols]
+        i, j = np.meshgrid(np.arange(len(rows)) + first, np.arange(len(cols)) + second, indexing="ij")
+        upper = i <= j
+        yield pa.RecordBatch.from_arrays([pa.array(v[upper]) for v in (i, j, total)], ["i", "j", "g"])
+
+    return df.select(*used).mapInArrow(run, "i long, j long, g double")
 
 
 # --- selection rule -----------------------------------------------------------------------

@@ -356,25 +356,51 @@ def correlation_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(screening.correlation_pairs(_dev(spark, folder), FEATURES))
 
 
+RULES = {"least_iv": 0.002, "exclude_names": ["am_min_r"], "include_names": ["score_a"]}
+
+
 @query
 def select_features(spark: SparkSession, folder: str) -> DataFrame:
-    # Two listed decisions and importances stand in for the search and a model's table, so
-    # that the rule itself can be checked; `boruta` and `importance` run those.
-    decisions = [(c, "rejected" if c in ("am_avg_n", "priority") else "confirmed") for c in [*FEATURES, *CATEGORICAL]]
-    weights = [(c, 0.0 if c in ("ct_tot_r", "score_a") else 1.0) for c in [*FEATURES, *CATEGORICAL]]
+    """The rules that SQL can state; `select_with_models` adds the search and a model's table."""
+    return flows.screen(_dev(spark, folder), "bad", FEATURES, CATEGORICAL, ["order_id"], **RULES)
+
+
+_searches: dict[tuple[str, str], DataFrame] = {}
+
+
+def _relevant(spark: SparkSession, folder: str) -> DataFrame:
+    """The all-relevant search's table; found once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _searches:
+        found = allrelevant.all_relevant(
+            _dev(spark, folder), "bad", FEATURES, CATEGORICAL, ["order_id"], fit_rows=FIT_ROWS)
+        _searches[key] = written(found, "relevant")
+    return _searches[key]
+
+
+@query
+def select_with_models(spark: SparkSession, folder: str) -> DataFrame:
+    """All rules: the all-relevant search's decisions and the chosen model's importances of these tables."""
     return flows.screen(
-        _dev(spark, folder), "bad", FEATURES, CATEGORICAL, ["order_id"], least_iv=0.002,
-        exclude_names=["am_min_r"], include_names=["score_a"],
-        relevant=spark.createDataFrame(decisions, "variable string, decision string"),
-        importance=spark.createDataFrame(weights, "variable string, importance double"),
+        _dev(spark, folder), "bad", FEATURES, CATEGORICAL, ["order_id"], relevant=_relevant(spark, folder),
+        importance=models.importances(_chosen(spark, folder)), **RULES,
     )
 
 
+@query
+def screening_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The screening repeated on what is left, each round with a forest's importances of its own."""
+    dev = _dev(spark, folder)
+
+    def importances(numeric, categorical) -> DataFrame:
+        return models.importances(models.fit(dev, "bad", numeric, categorical, models.QUICK_FOREST))
+
+    return flows.rounds(dev, "bad", FEATURES, CATEGORICAL, ["order_id"], importances, **RULES)
+
+
 @query
 def boruta(spark: SparkSession, folder: str) -> DataFrame:
-    return allrelevant.all_relevant(
-        _dev(spark, folder), "bad", FEATURES, CATEGORICAL, ["order_id"], fit_rows=FIT_ROWS
-    )
+    return _relevant(spark, folder)
 
 
 @query

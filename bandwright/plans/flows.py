@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -81,8 +82,7 @@ def screen(
 
 def rounds(
     dev: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], key: Sequence[str],
-    importances: Callable[[Sequence[str], Sequence[str]], DataFrame] | None = None, most: int = 10,
-    **rules,
+    importances: Callable[[Sequence[str], Sequence[str]], DataFrame] | None = None, **rules,
 ) -> DataFrame:
     """(round, variable, reason): `screen` on what the rounds before have left, until a
     round drops nothing.
@@ -92,7 +92,8 @@ def rounds(
     """
     found: list[tuple[int, str, str]] = []
     numeric, categorical = list(numeric), list(categorical)
-    for number in range(1, most + 1):
+    # A round that drops nothing is the last, so there are at most as many as columns.
+    for number in count(1):
         table = importances(numeric, categorical) if importances else None
         excluded = [c for c in rules.get("exclude_names", ()) if c in {*numeric, *categorical}]
         own = {**rules, "exclude_names": excluded}

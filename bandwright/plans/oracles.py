@@ -433,8 +433,6 @@ found AS (
   UNION ALL SELECT * FROM (SELECT DISTINCT CASE WHEN a.iv < b.iv THEN col_a WHEN b.iv < a.iv THEN col_b
       ELSE greatest(col_a, col_b) END AS variable, 'correlated' AS reason
     FROM cp JOIN iv a ON a.variable = col_a JOIN iv b ON b.variable = col_b WHERE abs_r > 0.8)
-  UNION ALL SELECT unnest(['am_avg_n', 'priority']), 'all_relevant'
-  UNION ALL SELECT unnest(['ct_tot_r', 'score_a']), 'low_importance'
   UNION ALL SELECT 'am_min_r', 'excluded')
 SELECT variable, reason FROM found WHERE variable <> 'score_a'"""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bandwright.functions import pvalues
 from bandwright.operators import allrelevant, encoding, screening
+from bandwright.plans import flows
 
 
 def table(spark, cells):
@@ -203,3 +204,44 @@ def test_a_row_bound_leaves_the_all_relevant_statistics_whole(spark):
     assert weights(some) <= weights(every) and median(some) == median(every)
     codes = {k for r in some for k in r["k"]}
     assert codes <= {k for r in every for k in r["k"]} and max(codes) > 250
+
+
+@pytest.mark.parametrize("block", [1_000, 7])
+def test_correlations_in_blocks(spark, monkeypatch, block):
+    """Any cut of the columns gives numpy's values; constants and all-null columns have none."""
+    monkeypatch.setattr(screening, "GRAM_COLUMNS", block)
+    dice = np.random.default_rng(3)
+    x = dice.normal(size=(300, 20)) + 1e6
+    x[:, 3] = x[:, 2] * 2 + dice.normal(size=300) * 0.1
+    x[:, 5] = 0.1
+    names = [f"c{i}" for i in range(20)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], names).withColumn("none", F.lit(None).cast("double"))
+    got = {(r["col_a"], r["col_b"]): r["abs_r"] for r in screening.correlation_pairs(df.repartition(3), [*names, "none"]).collect()}
+    assert len(got) == 21 * 20 // 2
+    expected = np.abs(np.corrcoef(x[:, [i for i in range(20) if i != 5]].T))
+    kept = [n for n in names if n != "c5"]
+    for (a, b), r in got.items():
+        if "c5" in (a, b) or "none" in (a, b):
+            assert r is None
+        else:
+            assert r == pytest.approx(expected[kept.index(a), kept.index(b)], abs=1e-9)
+
+
+def test_correlations_of_a_thousand_columns(spark):
+    wide = spark.range(400).select(*[F.sin(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(1_000)])
+    out = screening.correlation_pairs(wide, wide.columns)
+    n, low, high = out.agg(F.count("*"), F.min("abs_r"), F.max("abs_r")).first()
+    assert n == 1_000 * 999 // 2 and 0 <= low and high <= 1
+
+
+def test_decisions_and_importances_drop_columns(spark):
+    """What a search has rejected and a model doesn't use goes, whatever the other rules say."""
+    dice = np.random.default_rng(6)
+    y = dice.integers(0, 2, 600)
+    df = spark.createDataFrame(
+        [(i, int(t), float(t + dice.normal()), float(t + dice.normal()), float(t + dice.normal())) for i, t in enumerate(y)],
+        "id int, y int, a double, b double, c double")
+    relevant = spark.createDataFrame([("a", "rejected"), ("b", "confirmed"), ("c", "confirmed")], "variable string, decision string")
+    importance = spark.createDataFrame([("a", 0.5), ("b", 0.0), ("c", 0.5)], "variable string, importance double")
+    out = flows.screen(df, "y", ["a", "b", "c"], [], ["id"], relevant=relevant, importance=importance)
+    assert {tuple(r) for r in out.collect()} == {("a", "all_relevant"), ("b", "low_importance")}
