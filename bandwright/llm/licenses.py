@@ -12,7 +12,8 @@ is no shuffle.
 `find` also compares word windows over the whole text, across lines, with the notices and
 with full license texts. The best window of a start ends in a bigram of the template, so
 starts and ends are the template's bigrams, and a window has at most (2 - T) / T times as
-many bigrams as the template, repeats included. A template is compared only where the text
+many bigrams as the template, repeats included. In a full text's case only the first
+bigram of each run of the template's is a start, so that a verbatim text costs its length. A template is compared only where the text
 holds |B| T / (2 - T) of its bigrams. Of overlapping windows the one of the largest dice
 stays, then the longer, then the first license by name. A window within a matching line,
 or one that overlaps a matching line of the same license, is that line's notice.
@@ -39,6 +40,8 @@ THRESHOLD = 0.8
 RESULTS = ["matches", "n_matches", "license", "dice"]
 # Longer windows are full texts, which are more than a line's notice.
 NOTICE_WORDS = 100
+# Templates whose windows may be longer than this are full texts.
+LONG = 400
 PASSAGE = "array<struct<start:int,end:int,license:string,dice:double>>"
 # Short notices by which licenses are usually named.
 TEMPLATES = {
@@ -144,10 +147,18 @@ def scan(
 
 def _windows(marks: Column, places: Column, size: int, longest: int, least: int, name: str) -> Column:
     """The best window from each place: `marks` are (previous place of the same bigram, whether
-    the template has it) for each bigram of the text, `places` those that the template has."""
+    the template has it) for each bigram of the text, `places` those that the template has.
+
+    For a long template only from where a run of its bigrams begins: a bigram of the template
+    before a window makes it longer and its dice no less.
+    """
+    long = longest > LONG
     starts = F.filter(F.transform(places, lambda at, i: F.struct(
         at.alias("at"), F.get(places, i + (least - 1)).alias("reach"),
-    )), lambda p: p["reach"] - p["at"] < longest)
+        F.coalesce(F.get(places, i - 1) < at - 1, F.lit(True)).alias("first"),
+    )), lambda p: (p["reach"] - p["at"] < longest) & (p["first"] | F.lit(not long)))
+    # What comes before a place in its run may have been left out of the bound.
+    longest = longest * 2 if long else longest
 
     def best(p: Column) -> Column:
         start = p["at"]
