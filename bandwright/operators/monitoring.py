@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwright.functions.banding import Bands, Groups, with_classes
 from bandwright.functions.columns import share
 from bandwright.operators.panel import cohort_label, cohort_of, eligible, exclude
-from bandwright.operators.shares import cohort_shares
+from bandwright.operators.shares import cohort_counts, cohort_shares, with_share
 
 # Share standing in for an empty class.
 EPSILON = 1e-4
@@ -27,15 +28,17 @@ def baseline_frame(
 
 def production_frame(
     variables: DataFrame, score_log: DataFrame, keys: Sequence[str], score: str, stamp: str,
-    start: str, specs: Sequence[Bands | Groups], output: str = "safra",
+    start: str, specs: Sequence[Bands | Groups], output: str = "safra", until: str | None = None,
 ) -> DataFrame:
-    """Production variables with their logged score: score > 1, from `start`, monthly cohort.
+    """Production variables with their logged score: score > 1, from `start` to before `until`, monthly cohort.
 
     The score filter discards unmatched rows, so Catalyst may turn the left join
     into an inner one; the date filter sits on a join key and reaches both scans.
     """
     joined = variables.join(score_log, list(keys), "left")
     recent = joined.filter((F.col(score) > 1) & (F.col(stamp) >= start))
+    if until is not None:
+        recent = recent.filter(F.col(stamp) < until)
     return with_classes(recent.withColumn(output, cohort_of(stamp)), specs)
 
 
@@ -52,6 +55,27 @@ def class_distribution(frame: DataFrame, cohort: str, classes: Sequence[str]) ->
     return cohort_shares(frame, cohort, classes)
 
 
+def record_counts(frame: DataFrame, path: str, batch: str, cohort: str, classes: Sequence[str]) -> None:
+    """Counts the classes of a batch of rows and keeps them in the table of counts at `path`.
+
+    A batch is a delivery of rows, such as a month; counts of several batches add up, so a
+    late delivery for an earlier cohort comes as a batch of its own. A batch recorded again
+    takes the place of its former self as a whole, cohorts that it no longer has included.
+    Only `frame` is read. Rows without a cohort, and null classes, are left out.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", batch):
+        raise ValueError(f"batch {batch!r}: letters, digits, dot, hyphen and underscore only")
+    counted = cohort_counts(frame, cohort, classes).select("variable", "value", "n", F.col(cohort).cast("string").alias(cohort))
+    counted.hint("rebalance", cohort).write.mode("overwrite").partitionBy(cohort).parquet(f"{path}/batch={batch}")
+
+
+def recorded_distribution(spark: SparkSession, path: str, cohort: str) -> DataFrame:
+    """(cohort, variable, value, n, pct) from the table of counts; no rows are read again."""
+    kept = spark.read.schema(f"variable string, value string, n bigint, batch string, `{cohort}` string").parquet(path)
+    merged = kept.groupBy(cohort, "variable", "value").agg(F.sum("n").alias("n"))
+    return with_share(merged, [cohort, "variable"])
+
+
 def stability_index(
     distribution: DataFrame, cohort: str, baseline: str, epsilon: float = EPSILON
 ) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
+from typing import Literal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandwright.operators import skew
+
 
 @dataclass(frozen=True)
 class Satellite:
@@ -17,13 +21,15 @@ class Satellite:
     `keep` names the feature columns (all non-key columns by default). The table
     must be unique on `keys`; pass it through `first_per_key` otherwise. `salt`
     spreads a known hot key: the base is split over that many sub-keys and the
-    satellite repeated for each, so no task receives the whole key.
+    satellite repeated for each, so no task receives the whole key. With "auto" a pass
+    over the base's keys finds the heavy ones, and only these are spread; rows without
+    a whole key are dealt over the tasks too.
     """
 
     frame: DataFrame
     keys: tuple[str, ...]
     keep: tuple[str, ...] | None = None
-    salt: int | None = None
+    salt: int | Literal["auto"] | None = None
 
 
 def star_assembly(base: DataFrame, satellites: Sequence[Satellite]) -> DataFrame:
@@ -33,16 +39,35 @@ def star_assembly(base: DataFrame, satellites: Sequence[Satellite]) -> DataFrame
     skewed base partitions, which is legal as the base is the outer side.
     """
     out = base
-    for s in satellites:
-        keep = s.keep if s.keep is not None else [c for c in s.frame.columns if c not in s.keys]
-        right = s.frame.select(*s.keys, *keep)
-        if s.salt:
-            out = _salted(out, right, list(s.keys), s.salt)
-        else:
-            out = out.join(right, on=list(s.keys), how="left")
+    for (keys, salt), group in groupby(satellites, lambda s: (tuple(s.keys), s.salt)):
+        rights = [_projected(s) for s in group]
+        if salt == "auto":
+            out = _spread(base, out, rights, list(keys))
+            continue
+        for right in rights:
+            if salt:
+                out = _salted(out, right, list(keys), salt)
+            else:
+                out = out.join(right, on=list(keys), how="left")
     return out
 
 
+def _projected(s: Satellite) -> DataFrame:
+    keep = s.keep if s.keep is not None else [c for c in s.frame.columns if c not in s.keys]
+    return s.frame.select(*s.keys, *keep)
+
+
+def _spread(base: DataFrame, out: DataFrame, rights: list[DataFrame], keys: list[str]) -> DataFrame:
+    # Keys that the base itself has are counted there, without the joins so far.
+    source = base if set(keys) <= set(base.columns) else out
+    kinds = [skew.common_kinds(out, right, keys) for right in rights]
+    if all(k is not None and k == kinds[0] for k in kinds):
+        heavy = skew.find_heavy(source, keys, kinds[0])
+        if heavy:
+            return skew.spread_left_join(out, rights, keys, kinds[0], heavy)
+    return reduce(lambda left, right: left.join(right, on=keys, how="left"), rights, out)
+
+
 def _salted(base: DataFrame, right: DataFrame, keys: list[str], salt: int) -> DataFrame:
     # The salt hashes the whole row, so a retried task deals the same sub-keys.
     left = base.withColumn("__salt", F.pmod(F.xxhash64(*base.columns), F.lit(salt)).cast("int"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from bandwright.functions.columns import chunks, join_back, share, unpivot
 
+# Value columns that one aggregate of a wide table makes.
+WIDE_BLOCK = 500
+
 
 def cohort_shares(df: DataFrame, cohort: str, columns: Sequence[str]) -> DataFrame:
     """(cohort, variable, value, n, pct) with pct over the cohort's non-null values.
@@ -16,10 +19,14 @@ def cohort_shares(df: DataFrame, cohort: str, columns: Sequence[str]) -> DataFra
     One unpivoted job for all variables. Null values and null cohorts are left
     out, as in a crosstab.
     """
+    return with_share(cohort_counts(df, cohort, columns), [cohort, "variable"])
+
+
+def cohort_counts(df: DataFrame, cohort: str, columns: Sequence[str]) -> DataFrame:
+    """(cohort, variable, value, n): what the shares are made of. Counts of disjoint rows add up."""
     long = unpivot(df.filter(F.col(cohort).isNotNull()), [cohort], columns, "string")
     known = long.filter(F.col("value").isNotNull())
-    tally = known.groupBy(cohort, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
-    return with_share(tally, [cohort, "variable"])
+    return known.groupBy(cohort, "variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def with_share(tally: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -38,10 +45,19 @@ def wide_shares(
 ) -> DataFrame:
     """Cohort rows by value columns for one variable; absent pairs are null.
 
-    Without `values` Spark finds them, up to its own spark.sql.pivotMaxValues.
+    Any number of values: blocks of conditional aggregates, joined by cohort. Without
+    `values` the distinct ones are found first, as many as the result has columns. Each block
+    reads only its own values' shares.
     """
     one = shares.filter(F.col("variable") == variable)
-    return one.groupBy(cohort).pivot("value", list(values) if values else None).agg(F.first("pct"))
+    if values is None:
+        values = sorted(row["value"] for row in one.select("value").distinct().collect())
+    out = one.select(cohort).distinct()
+    for block in chunks(list(dict.fromkeys(values)), WIDE_BLOCK):
+        cells = [F.max(F.when(F.col("value") == v, F.col("pct"))).alias(v) for v in block]
+        part = one.filter(F.col("value").isin(block)).groupBy(cohort).agg(*cells)
+        out = out.join(part, cohort, "left")
+    return out
 
 
 def class_cube(df: DataFrame, cohort: str, columns: Sequence[str]) -> DataFrame:

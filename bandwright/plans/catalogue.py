@@ -73,16 +73,39 @@ def dedup_lookup_join(spark: SparkSession, folder: str) -> DataFrame:
 LOG_KEYS = ["order_id", "consumer_id", "referenced_at"]
 
 
-def _production(spark: SparkSession, folder: str) -> DataFrame:
+START = "2001-02-01"
+
+
+def _production(spark: SparkSession, folder: str, days: tuple[str, str] | None = None) -> DataFrame:
     """Production variables of the last year joined with their score log on three keys."""
-    year = monitored(spark, folder).filter(F.col("ref_portfolio") == "2001")
+    year = monitored(spark, folder, days).filter(F.col("ref_portfolio") == "2001")
     log = year.filter(F.col("score_a") % 7 != 0).select(*LOG_KEYS, F.col("score_a").alias("score"))
     return monitoring.production_frame(
-        year, log, LOG_KEYS, "score", "referenced_at", "2001-02-01",
+        year, log, LOG_KEYS, "score", "referenced_at", START,
         presets.monitoring_classes("score", "others"),
     )
 
 
+@query
+def hot_key_star(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with satellites on three and on four keys; one key holds a third of the rows, others lack a part."""
+    hot, line = F.col("l_orderkey") % 3 == 0, F.col("l_orderkey")
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"),
+        F.when(hot, F.lit(1).cast("bigint")).when(line % 11 != 0, F.col("l_suppkey")).alias("consumer_id"),
+        F.when(hot, "1995").otherwise(F.year("l_shipdate").cast("string")).alias("ref_portfolio"),
+        F.when(hot, "N").otherwise(F.col("l_returnflag")).alias("flag_consumer"),
+        F.when(hot, "F").otherwise(F.col("l_linestatus")).alias("cpf"), F.col("l_quantity").alias("quantity"),
+    )
+    star = list(presets.STAR_KEYS)
+    three = lines.groupBy(*star).agg(F.count(F.lit(1)).alias("lines"), F.max("quantity").alias("most"))
+    four = lines.groupBy(*star, "cpf").agg(F.count(F.lit(1)).alias("lines_cpf"), F.min("part_id").alias("first_part"))
+    return panel.star_assembly(
+        lines,
+        [panel.Satellite(three, tuple(star), salt="auto"), panel.Satellite(four, (*star, "cpf"), salt="auto")],
+    )
+
+
 @query
 def score_log_join(spark: SparkSession, folder: str) -> DataFrame:
     """The joined rows with their cohort and all fifteen classes."""
@@ -224,9 +247,10 @@ def median_mode_impute(spark: SparkSession, folder: str) -> DataFrame:
     rows = modelling(spark, folder).select(
         "order_id", "am_avg_a", F.nullif("segment", F.lit("BUILDING")).alias("segment")
     )
-    middle = profile.medians(rows, ["am_avg_a"])["am_avg_a"]
+    imputer = encoding.MedianImputer(inputCols=["am_avg_a"], outputCols=["am_avg_a_filled"])
+    filled = imputer.fit(rows).transform(rows)
     common = encoding.mode_values(rows, ["segment"])["segment"]
-    return rounded(rows.fillna({"am_avg_a": middle, "segment": common}))
+    return rounded(filled.select("order_id", F.col("am_avg_a_filled").alias("am_avg_a"), "segment").fillna({"segment": common}))
 
 
 CLASSES = [spec.output for spec in presets.monitoring_classes("score_a")]
@@ -659,7 +683,7 @@ def gains_banded(spark: SparkSession, folder: str) -> DataFrame:
         dev, df, "score_a", None, ["sample"], "2001", "m0", edges=[0, 300, 600, 1000]
     )
     out = wide.unionByName(given).unionByName(untargeted)
-    return rounded(out.drop("range"))
+    return rounded(out)
 
 
 def study_segments() -> list[gains.Segment]:
@@ -711,6 +735,21 @@ def psi(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(_drift(spark, folder)["psi"])
 
 
+@query
+def psi_by_month(spark: SparkSession, folder: str) -> DataFrame:
+    """The index from a table of counts to which every month adds its own, each reading its own rows."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    last = table(spark, folder, "orders").filter((F.year("o_orderdate") == 2001) & (day >= START))
+    months = sorted(row[0] for row in last.select(panel.cohort_of(day)).distinct().collect())
+    path = scratch_path(spark, "class_counts")
+    flows.drift_update(_baseline(spark, folder), path, "baseline", CLASSES, "safra")
+    for month in months:
+        year, number = map(int, month.split("-"))
+        after = f"{year + number // 12}-{number % 12 + 1:02d}-01"
+        flows.drift_update(_production(spark, folder, (f"{month}-01", after)), path, month, CLASSES, "safra")
+    return rounded(flows.drift_so_far(spark, path, "safra", "Baseline")["psi"])
+
+
 @query
 def baseline_classes(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(monitoring.class_distribution(_baseline(spark, folder), "safra", CLASSES))

@@ -8,7 +8,7 @@ from itertools import count
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandwright.operators import allrelevant, models, monitoring, profile, screening
@@ -153,3 +153,17 @@ def drift_report(
         "distribution": distribution,
         "psi": monitoring.stability_index(distribution, cohort, baseline_label),
     }
+
+
+def drift_update(frame: DataFrame, path: str, batch: str, classes: Sequence[str], cohort: str) -> None:
+    """Adds a batch of baseline or production rows to the table of counts."""
+    monitoring.record_counts(frame, path, batch, cohort, classes)
+
+
+def drift_so_far(spark: SparkSession, path: str, cohort: str, baseline_label: str) -> Mapping[str, DataFrame]:
+    """The drift report of all batches recorded at `path`."""
+    distribution = monitoring.recorded_distribution(spark, path, cohort)
+    return {
+        "distribution": distribution,
+        "psi": monitoring.stability_index(distribution, cohort, baseline_label),
+    }

@@ -19,10 +19,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{folder}/{name}.parquet")
 
 
-def panel(spark: SparkSession, folder: str, dated: bool = False) -> DataFrame:
+Days = tuple[str, str] | None
+
+
+def _orders(spark: SparkSession, folder: str, days: Days) -> DataFrame:
+    """Orders, or those from the first of two days to before the second; the scan prunes by them."""
+    orders = table(spark, folder, "orders")
+    if days is None:
+        return orders
+    first, end = (F.lit(day).cast("timestamp_ntz") for day in days)
+    return orders.filter((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < end))
+
+
+def panel(spark: SparkSession, folder: str, dated: bool = False, days: Days = None) -> DataFrame:
     """One row per order: the customer panel with cohort, sample, target and scores, and
     if `dated` with the day."""
-    orders = table(spark, folder, "orders").select(
+    orders = _orders(spark, folder, days).select(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("consumer_id"),
         F.year("o_orderdate").cast("string").alias("ref_portfolio"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("bad"),
@@ -54,9 +66,11 @@ def panel(spark: SparkSession, folder: str, dated: bool = False) -> DataFrame:
     )
 
 
-def book(spark: SparkSession, folder: str) -> DataFrame:
+def book(spark: SparkSession, folder: str, days: Days = None) -> DataFrame:
     """Transaction book per order: min, max, total, mean and count by return flag."""
     lines = table(spark, folder, "lineitem")
+    if days is not None:
+        lines = lines.join(_orders(spark, folder, days), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     price = F.col("l_extendedprice")
     aggregates = []
     for flag, value in FLAGS.items():
@@ -69,9 +83,9 @@ def book(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(*aggregates)
 
 
-def modelling(spark: SparkSession, folder: str, dated: bool = False) -> DataFrame:
+def modelling(spark: SparkSession, folder: str, dated: bool = False, days: Days = None) -> DataFrame:
     """Panel with the book's features."""
-    return star_assembly(panel(spark, folder, dated), [Satellite(book(spark, folder), ("order_id",))])
+    return star_assembly(panel(spark, folder, dated, days), [Satellite(book(spark, folder, days), ("order_id",))])
 
 
 STATES = ("AC", "PA", "BA", "CE", "MG", "RJ", "SP", "PR", "RS", "DF")
@@ -80,13 +94,13 @@ BRANDS = ("samsung", "motorola", "iphone", "nokia", "xiaomi", "lg", "asus")
 MAILS = ("gmail", "hotmail", "uol", "outlook", "yahoo", "Outros/Erro")
 
 
-def monitored(spark: SparkSession, folder: str) -> DataFrame:
+def monitored(spark: SparkSession, folder: str, days: Days = None) -> DataFrame:
     """The modelling frame with the inputs of the fifteen monitoring classes.
 
     Amounts, counts and scores are the book's and the panel's; what the tables lack
     (age, tenure, states, brands) is derived from the keys.
     """
-    df = modelling(spark, folder, dated=True)
+    df = modelling(spark, folder, dated=True, days=days)
 
     def picked(values: tuple[str, ...], key: str):
         return F.array(*map(F.lit, values))[(F.col(key) % len(values)).cast("int")]

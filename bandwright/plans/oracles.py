@@ -583,14 +583,14 @@ SQL["segment_gains"] = f"WITH {MODELLING}, " + gains(
 )
 
 
-def banded(column: str, inner: str, bands: int, model: str, target: bool = True) -> str:
-    """Counts per band; `inner` counts the inner edges below the value."""
+def banded(column: str, inner: str, bands: int, model: str, edges: str, target: bool = True) -> str:
+    """Counts per band; `inner` counts the inner edges below the value, `edges` lists all as text."""
     g = "count(*) FILTER (WHERE bad = 0)" if target else "CAST(0 AS BIGINT)"
     b = "count(*) FILTER (WHERE bad = 1)" if target else "CAST(0 AS BIGINT)"
     total = "good + bad" if target else "n"
     pct = (lambda c: r(f"{c} / (sum({c}) OVER s)::DOUBLE")) if target else (lambda c: "0.0::DOUBLE")
     return f"""SELECT sample, '2001' AS cohort, '{model}' AS model_id, '{column}' AS variable, CAST(band AS INTEGER) AS band,
-  CAST(good AS BIGINT) AS good, CAST(bad AS BIGINT) AS bad, CAST({total} AS BIGINT) AS total,
+  '(' || ({edges})[band] || '-' || ({edges})[band + 1] || ')' AS range, CAST(good AS BIGINT) AS good, CAST(bad AS BIGINT) AS bad, CAST({total} AS BIGINT) AS total,
   {pct('good')} AS pct_good, {pct('bad')} AS pct_bad, {r(f'({total}) / (sum({total}) OVER s)::DOUBLE')} AS pct_total
 FROM (SELECT k.sample, k.band, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, coalesce(n, 0) AS n
   FROM (SELECT sample, unnest(range(1, {bands + 1})) AS band FROM (SELECT DISTINCT sample FROM panel)) k
@@ -602,11 +602,12 @@ FROM (SELECT k.sample, k.band, coalesce(good, 0) AS good, coalesce(bad, 0) AS ba
 _width = " + ".join(f"(score_b > lo + {i} * ((hi - lo) / 10.0::DOUBLE))::INT" for i in range(1, 10))
 _given = "(score_a > 100)::INT + (score_a > 250)::INT + (score_a > 500)::INT"
 _third = "(score_a > 300)::INT + (score_a > 600)::INT"
+_cuts = f"['0.0', {', '.join(f'(SELECT CAST(lo + {i} * ((hi - lo) / 10.0::DOUBLE) AS VARCHAR) FROM lim)' for i in range(1, 10))}, '1000.0']"
 SQL["gains_banded"] = f"""
 WITH {PANEL}, lim AS (SELECT min(score_b)::DOUBLE AS lo, max(score_b)::DOUBLE AS hi FROM panel WHERE sample = 'dev')
-{banded('score_b', _width, 10, 'm1')}
-UNION ALL {banded('score_a', _given, 4, 'm1')}
-UNION ALL {banded('score_a', _third, 3, 'm0', False)}"""
+{banded('score_b', _width, 10, 'm1', _cuts)}
+UNION ALL {banded('score_a', _given, 4, 'm1', "['0.0', '100.0', '250.0', '500.0', '1000.0']")}
+UNION ALL {banded('score_a', _third, 3, 'm0', "['0.0', '300.0', '600.0', '1000.0']", False)}"""
 
 # --- monitoring -----------------------------------------------------------------------------
 
@@ -630,6 +631,7 @@ q AS (SELECT *, greatest(n / (sum(n) OVER w)::DOUBLE, 0.0001::DOUBLE) AS s,
     greatest(m / (sum(m) OVER w)::DOUBLE, 0.0001::DOUBLE) AS t
   FROM p WHERE n + m > 0 WINDOW w AS (PARTITION BY safra, variable))
 SELECT safra, variable, {r('sum((s - t) * ln(s / t))')} AS psi FROM q GROUP BY 1, 2"""
+SQL["psi_by_month"] = SQL["psi"]
 SQL["baseline_classes"] = f"""
 WITH {MONITORED}, {BASELINE},
 dist AS (SELECT safra, variable, value, count(*) AS n FROM ({long('baseline', list(CLASSES), 'safra')})
@@ -641,6 +643,18 @@ SQL["reload_parity"] = f"""
 WITH {PANEL}, s AS (SELECT sample, count(*) AS rows FROM panel GROUP BY 1)
 SELECT sample, rows, 0 AS max_abs_diff FROM s
 UNION ALL SELECT 'tot', CAST(sum(rows) AS BIGINT), 0 FROM s WHERE sample IN ('dev', 'val')"""
+SQL["hot_key_star"] = """
+WITH lines AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part_id,
+  CASE WHEN l_orderkey % 3 = 0 THEN 1 WHEN l_orderkey % 11 <> 0 THEN l_suppkey END AS consumer_id,
+  CASE WHEN l_orderkey % 3 = 0 THEN '1995' ELSE CAST(year(l_shipdate) AS VARCHAR) END AS ref_portfolio,
+  CASE WHEN l_orderkey % 3 = 0 THEN 'N' ELSE l_returnflag END AS flag_consumer,
+  CASE WHEN l_orderkey % 3 = 0 THEN 'F' ELSE l_linestatus END AS cpf, l_quantity AS quantity FROM lineitem),
+three AS (SELECT consumer_id, ref_portfolio, flag_consumer, count(*) AS lines, max(quantity) AS most FROM lines GROUP BY ALL),
+four AS (SELECT consumer_id, ref_portfolio, flag_consumer, cpf, count(*) AS lines_cpf, min(part_id) AS first_part
+  FROM lines GROUP BY ALL)
+SELECT l.*, three.lines, most, lines_cpf, first_part FROM lines l
+LEFT JOIN three USING (consumer_id, ref_portfolio, flag_consumer)
+LEFT JOIN four USING (consumer_id, ref_portfolio, flag_consumer, cpf)"""
 SQL["catalog_scan"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'P'"
 
 # --- full-base scoring ----------------------------------------------------------------------

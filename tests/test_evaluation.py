@@ -180,3 +180,48 @@ def test_scores_beyond_the_domain_move_the_inner_edges(spark, kind):
     raw = np.quantile(scores, [i / 10 for i in range(1, 10)])
     inner = [round(float(e), 2) for e in raw if 0 < e < 1000]
     assert [r["range"].strip("()").split("-")[0] for r in found][1:] == [str(e) for e in inner]
+
+
+def _distribution(spark, path):
+    return sorted(map(tuple, monitoring.recorded_distribution(spark, path, "safra").collect()))
+
+
+def test_counts_by_month_equal_counts_of_all_rows(spark, tmp_path):
+    rows = [(m, c, d) for i in range(60) for m, c, d in [(f"2001-0{i % 3 + 1}", "ab"[i % 2], None if i % 5 == 0 else f"v{i % 4}")]]
+    df = spark.createDataFrame([*rows, (None, "a", "v1")], "safra string, one string, two string")
+    path = str(tmp_path / "counts")
+    for month in ("2001-01", "2001-02", "2001-03"):
+        monitoring.record_counts(df.filter(F.col("safra") == month), path, month, "safra", ["one", "two"])
+    whole = monitoring.class_distribution(df, "safra", ["one", "two"])
+    assert _distribution(spark, path) == sorted(map(tuple, whole.collect()))
+    found = monitoring.stability_index(monitoring.recorded_distribution(spark, path, "safra"), "safra", "2001-01")
+    wanted = monitoring.stability_index(whole, "safra", "2001-01")
+    assert {r[:2]: r[2] for r in map(tuple, found.collect())} == pytest.approx({r[:2]: r[2] for r in map(tuple, wanted.collect())})
+
+
+def test_a_repeated_batch_is_replaced_and_a_late_one_is_added(spark, tmp_path):
+    path, kinds = str(tmp_path / "counts"), "safra string, cls string"
+    first = spark.createDataFrame([("2001-01", "a"), ("2001-01", "b"), ("2001-02", "a")], kinds)
+    again = spark.createDataFrame([("2001-01", "a")], kinds)
+    late = spark.createDataFrame([("2001-01", "b"), ("2001-01", "c")], kinds)
+    monitoring.record_counts(first, path, "one", "safra", ["cls"])
+    monitoring.record_counts(first, path, "one", "safra", ["cls"])
+    assert [r[2:4] for r in _distribution(spark, path)] == [("a", 1), ("b", 1), ("a", 1)]
+    # The second form of a batch has no row of 2001-02, so that cohort goes with the first one.
+    monitoring.record_counts(again, path, "one", "safra", ["cls"])
+    monitoring.record_counts(late, path, "late", "safra", ["cls"])
+    assert [(r[0], *r[2:4]) for r in _distribution(spark, path)] == [("2001-01", v, 1) for v in "abc"]
+    monitoring.record_counts(late.limit(0), path, "late", "safra", ["cls"])
+    monitoring.record_counts(again.limit(0), path, "one", "safra", ["cls"])
+    assert _distribution(spark, path) == []
+    with pytest.raises(ValueError, match="batch"):
+        monitoring.record_counts(late, path, "a/b", "safra", ["cls"])
+
+
+def test_a_month_reads_its_own_orders(spark, folder):
+    from bandwright.plans.frames import panel as orders
+
+    month = orders(spark, folder, True, ("2001-03-01", "2001-04-01"))
+    days = {r[0][:7] for r in month.select("referenced_at").collect()}
+    assert days == {"2001-03"}
+    assert "LessThan(o_orderdate" in month._jdf.queryExecution().executedPlan().toString()

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandwright.functions import presets
 from bandwright.functions.banding import with_classes
 from bandwright.functions.text import group_by_dictionary, keep_listed, with_first_contained
-from bandwright.operators import panel
+from bandwright.operators import panel, skew
 
 
 def rows(df, *columns):
@@ -121,3 +123,47 @@ def test_all_fifteen_classes_resolve(spark):
     )
     out = with_classes(df, specs).first()
     assert len(specs) == 15 and out["classe_instituicao_cartao"] == "vazio" and out["classe_idade"] == "999. Outros"
+
+
+def _lots(df, lot="__lot"):
+    return {r[0]: r[1] for r in df.groupBy(lot).count().collect()}
+
+
+def test_heavy_keys_are_found_and_spread(spark):
+    base = spark.range(9_000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 != 1, F.col("id")).alias("k"), F.lit("x").alias("c"))
+    heavy = skew.find_heavy(base, ["k"], [T.LongType()], tasks=12)
+    expected = spark.range(1).select(F.xxhash64(F.lit(7).cast("bigint"))).first()[0]
+    assert list(heavy.copies) == [expected] and 4 <= heavy.copies[expected] <= 5 and heavy.null_lots == 1
+    lots = _lots(skew.dealt(base.filter("k = 7"), ["k"], [T.LongType()], heavy))
+    # All these rows are equal; the input partition in the hash deals them apart all the same.
+    assert len(lots) > 1 and sum(lots.values()) == 3_001
+    finer = skew.find_heavy(base, ["k"], [T.LongType()], tasks=60)
+    assert finer.null_lots > 1
+    empty = _lots(skew.dealt(base.filter("k is null"), ["k"], [T.LongType()], finer))
+    assert len(empty) > 1 and set(empty) <= set(range(finer.null_lots))
+    assert skew.find_heavy(base.limit(0), ["k"], [T.LongType()]) == skew.Heavy({})
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string", "double"])
+def test_automatic_salt_equals_plain_join(spark, kind):
+    base = spark.range(4_000).select(
+        F.when(F.col("id") % 2 == 0, 5).when(F.col("id") % 5 != 1, F.col("id") % 50).alias("a"),
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 7 != 0, (F.col("id") % 3).cast("string")).alias("b"), "id")
+    # A repeated key on the right multiplies rows, as in any join.
+    right = spark.range(60).select(F.col("id").cast(kind).alias("a"), F.lit("hot").alias("b"), F.col("id").alias("x"))
+    right = right.unionByName(right.filter("x = 5")).unionByName(right.select(F.lit(None).cast(kind).alias("a"), "b", "x"))
+    other = spark.range(3).select(F.lit(5).cast(kind).alias("a"), F.col("id").cast("string").alias("b"), F.col("id").alias("y"))
+    wanted = base.join(right, ["a", "b"], "left").join(other, ["a", "b"], "left")
+    found = panel.star_assembly(base, [panel.Satellite(s, ("a", "b"), salt="auto") for s in (right, other)])
+    assert found.columns == wanted.columns
+    assert wanted.exceptAll(found).count() == 0 and found.count() == wanted.count()
+    # Kinds whose hashes could differ for equal keys aren't spread.
+    spread = "__lot" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert spread == (kind in ("int", "bigint"))
+
+
+def test_even_keys_are_joined_as_they_are(spark):
+    base = spark.range(1_000).withColumnRenamed("id", "k")
+    found = panel.star_assembly(base, [panel.Satellite(base.withColumn("x", F.col("k")), ("k",), salt="auto")])
+    assert "__lot" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 1_000

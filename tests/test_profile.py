@@ -127,3 +127,19 @@ def test_running_totals_in_one_to_many_levels(spark, rows):
     for k, i, v in data:
         total[k] = expected[k, i] = total.get(k, 0) + v
     assert got == expected
+
+
+def test_wide_shares_have_any_number_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(shares, "WIDE_BLOCK", 7)
+    df = spark.range(600).select((F.col("id") % 3).cast("string").alias("cohort"), (F.col("id") % 40).cast("string").alias("a"))
+    long = shares.cohort_shares(df, "cohort", ["a"])
+    limit = spark.conf.get("spark.sql.pivotMaxValues")
+    spark.conf.set("spark.sql.pivotMaxValues", "10")
+    try:
+        wide = shares.wide_shares(long, "cohort", "a")
+    finally:
+        spark.conf.set("spark.sql.pivotMaxValues", limit)
+    assert wide.columns == ["cohort", *sorted(map(str, range(40)))]
+    cells = {(r["cohort"], v): r[v] for r in wide.collect() for v in wide.columns[1:] if r[v] is not None}
+    assert cells == {(r["cohort"], r["value"]): r["pct"] for r in long.collect()}
+    assert shares.wide_shares(long, "cohort", "absent").columns == ["cohort"]
