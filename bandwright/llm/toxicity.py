@@ -33,6 +33,8 @@ from bandwright.llm.words import NOT_ALNUM, mix, plain, slices, stem_hashes, win
 BITS = 20
 FIT_ROWS = 12_000
 STEMS = (4, 5, 6, 7)
+# Bytes of text whose features are held at once; they take about a hundred times as much.
+FEATURE_BYTES = 1 << 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 FOLDS = 5
@@ -108,7 +110,7 @@ def fit(texts: pa.Array, labels: list[int]) -> Weights:
     """Weights after EPOCHS passes over the rows in the given order."""
     model = Ftrl(sum(labels), len(labels))
     for _ in range(EPOCHS):
-        for lo, hi in slices(texts):
+        for lo, hi in slices(texts, FEATURE_BYTES):
             rows, places = features(texts.slice(lo, hi - lo))
             keys = np.unique(rows << BITS | places)
             cuts = np.searchsorted(keys, np.arange(hi - lo + 1) << BITS)
@@ -123,7 +125,7 @@ def scores(texts: pa.Array, weights: Weights) -> np.ndarray:
     dense[weights.places] = weights.values
     known = dense != 0
     out = np.empty(len(texts))
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, FEATURE_BYTES):
         rows, places = features(texts.slice(lo, hi - lo))
         hit = known[places]
         keys = np.unique(rows[hit] << BITS | places[hit])
