@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
