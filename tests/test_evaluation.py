@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 from bandwright.operators import gains, monitoring, ranking
+from bandwright.plans import catalogue
+from bandwright.plans.oracles import SQL
 
 
 @pytest.fixture(scope="module")
@@ -225,3 +228,16 @@ def test_a_month_reads_its_own_orders(spark, folder):
     days = {r[0][:7] for r in month.select("referenced_at").collect()}
     assert days == {"2001-03"}
     assert "LessThan(o_orderdate" in month._jdf.queryExecution().executedPlan().toString()
+
+
+def test_months_come_from_one_pass(spark, folder, monkeypatch):
+    made, assemble = [], catalogue._production
+
+    def production(spark, folder, days=None):
+        made.append(days)
+        return assemble(spark, folder, days)
+
+    monkeypatch.setattr(catalogue, "_production", production)
+    out = catalogue.psi_by_month(spark, folder)
+    assert made == [(catalogue.START, "2002-01-01")]
+    assert compare(out, connect(folder), SQL["psi_by_month"]) is None
