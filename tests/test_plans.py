@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from bandwright.plans import frames
 from bandwright.plans.catalogue import REGISTRY
 
 ONE_SCAN = [
@@ -40,3 +41,8 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
     assert "o_totalprice" not in plan and "o_orderpriority" not in plan
     looked = REGISTRY["lookup_check"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(c_mktsegment,BUILDING\)", looked)
+
+
+def test_lines_are_dealt_before_they_are_summed(spark, folder):
+    plan = frames.book(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange")
