@@ -311,10 +311,11 @@ def links(docs: DataFrame, text: str, width: int, total: int) -> DataFrame:
     counts = labelled.groupBy("s", "label").agg(F.count("*").alias("k"))
     main = counts.groupBy("s").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("parts"))
     open_regions = main.where("parts > 1").select("s", F.col("most.label").alias("main"))
-    # A pivot's pairs are all measured.
-    unsettled = labelled.join(open_regions, "s").where(~F.col("node").isin(*map(F.col, pivots)))
+    # A pivot's pairs are all measured. Both steps are written: in one plan with what reads them
+    # several times over they cost the driver more memory than all else.
+    unsettled = written(labelled.join(open_regions, "s").where(~F.col("node").isin(*map(F.col, pivots))), "unsettled")
     rest = _windows(unsettled, distances, sets, pivots)
-    rest = rest.join(distances.select("a", "b"), ["a", "b"], "left_anti")
+    rest = written(rest.join(distances.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     # The stars stand for the links that they were made of.
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     return stars.union(measured(rest, sets).where(_linked()).select("a", "b"))
@@ -340,11 +341,14 @@ def _windows(unsettled: DataFrame, distances: DataFrame, sets: DataFrame, pivots
     blocks = {"m": F.ceil(F.col("m") / BLOCK).cast("int"), "k": F.ceil(F.col("k") / BLOCK).cast("int")}
     own = {name: F.pmod(F.xxhash64("node"), n).cast("int") for name, n in blocks.items()}
     columns = ["s", "i", "j", "stray", "node", "n", "label", "main", *[f"d{i}" for i in range(len(pivots))], "sketch", "regions"]
-    strays = rows.where(stray).withColumns({"stray": F.lit(True), "i": own["k"]})
-    strays = strays.withColumn("j", F.explode(F.sequence(F.lit(0), blocks["m"] - 1)))
-    others = rows.withColumns({"stray": F.lit(False), "j": own["m"]})
-    others = others.withColumn("i", F.explode(F.sequence(F.lit(0), blocks["k"] - 1)))
-    both = strays.select(columns).union(others.select(columns))
+
+    def lots(count: str, lot) -> Column:
+        return F.transform(F.sequence(F.lit(0), blocks[count] - 1), lot)
+
+    strays = lots("m", lambda j: F.struct(own["k"].alias("i"), j.alias("j"), F.lit(True).alias("stray")))
+    others = lots("k", lambda i: F.struct(i.alias("i"), own["m"].alias("j"), F.lit(False).alias("stray")))
+    both = rows.withColumn("_lot", F.explode(F.when(stray, F.concat(strays, others)).otherwise(others)))
+    both = both.select("*", "_lot.*").select(columns)
     parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(parts, "s", "i", "j").sortWithinPartitions("s", "i", "j")
     return mapped(dealt, _compare, "a bigint, b bigint").distinct()
@@ -438,7 +442,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     again = full.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("m")).where("a <> m and key is not null")
     repeated = full.join(again, "key").select("a", F.col("node").alias("b"))
     labels = components(links(own, "text", width, total).union(repeated))
-    placed = full.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = written(full.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
     names = placed.groupBy("label").agg(F.min("key").alias("component_id"))
     joined = placed.join(names, "label").select("key", "n_shingles", "component_id")
     alone = nodes.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id"))

@@ -123,3 +123,19 @@ def test_components_of_chains_stars_and_repeats(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {200: 200, 201: 200}
     assert got == want
     assert components(df.where(F.lit(False))).collect() == []
+
+
+def test_plans_of_the_links_stay_small(spark, monkeypatch):
+    """What several steps read is written first: no query over links has more than a dozen shuffles."""
+    found, real = [], jaccard.components
+
+    def components(edges):
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        found.append(sum(plan.count(f"{kind} {by}") for kind in ("Exchange",) for by in ("hash", "range", "Single", "Round")))
+        return real(edges)
+
+    monkeypatch.setattr(jaccard, "components", components)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 3:20 + i % 7])) for i in range(12)], "doc_id bigint, text string")
+    jaccard.join(docs).collect()
+    assert len(found) == 2 and max(found) <= 12
