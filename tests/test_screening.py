@@ -245,3 +245,28 @@ def test_decisions_and_importances_drop_columns(spark):
     importance = spark.createDataFrame([("a", 0.5), ("b", 0.0), ("c", 0.5)], "variable string, importance double")
     out = flows.screen(df, "y", ["a", "b", "c"], [], ["id"], relevant=relevant, importance=importance)
     assert {tuple(r) for r in out.collect()} == {("a", "all_relevant"), ("b", "low_importance")}
+
+
+def test_rounds_take_the_statistics_once(spark, monkeypatch):
+    """Rounds over kept statistics drop what a screening of the columns left drops, in one pass over the pairs."""
+    dice = np.random.default_rng(9)
+    n = 800
+    y = dice.integers(0, 2, n)
+    strong = y + dice.normal(size=n)
+    rows = [
+        (i, int(y[i]), float(strong[i]), float(strong[i] + 0.01 * dice.normal()), float(dice.normal()), "pq"[i % 2])
+        for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, "id int, y int, strong double, twin double, noise double, kind string")
+    numeric, categorical, expected = ["strong", "twin", "noise"], ["kind"], set()
+    for number in range(1, 5):
+        gone = {tuple(r) for r in flows.screen(df, "y", numeric, categorical, ["id"]).collect()}
+        expected |= {(number, *r) for r in gone}
+        numeric = [c for c in numeric if c not in {v for v, _ in gone}]
+        categorical = [c for c in categorical if c not in {v for v, _ in gone}]
+        if not gone:
+            break
+    made, calls = screening.correlation_pairs, []
+    monkeypatch.setattr(screening, "correlation_pairs", lambda *args: calls.append(args) or made(*args))
+    out = flows.rounds(df, "y", ["strong", "twin", "noise"], ["kind"], ["id"])
+    assert {tuple(r) for r in out.collect()} == expected and len(calls) == 1
