@@ -308,39 +308,47 @@ def links(docs: DataFrame, text: str, width: int, total: int) -> DataFrame:
     labelled = written(
         members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"
     )
-    counts = labelled.groupBy("s", "label").agg(F.count("*").alias("k"))
-    main = counts.groupBy("s").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("parts"))
-    open_regions = main.where("parts > 1").select("s", F.col("most.label").alias("main"))
-    # A pivot's pairs are all measured. Both steps are written: in one plan with what reads them
-    # several times over they cost the driver more memory than all else.
-    unsettled = written(labelled.join(open_regions, "s").where(~F.col("node").isin(*map(F.col, pivots))), "unsettled")
-    rest = _windows(unsettled, distances, sets, pivots)
+    # Pivots count for the main component, but their own pairs are all measured.
+    inner = ~F.col("node").isin(*map(F.col, pivots))
+    counts = labelled.groupBy("s", "label").agg(F.count("*").alias("k"), F.count_if(inner).alias("inner"))
+    main = counts.groupBy("s").agg(F.max(F.struct("k", "label", "inner")).alias("most"), F.sum("inner").alias("m"))
+    # In a region without a stray all members are joined already.
+    open_regions = main.select("s", F.col("most.label").alias("main"), "m", (F.col("m") - F.col("most.inner")).alias("k"))
+    # Each step is written, so that the driver never holds one plan of them all.
+    unsettled = written(labelled.join(open_regions.where("k > 0 and m > 1"), "s").where(inner), "unsettled")
+    reach = written(_reach(unsettled, distances, pivots), "reach")
+    rest = _windows(reach, sets, len(pivots))
     rest = written(rest.join(distances.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     # The stars stand for the links that they were made of.
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     return stars.union(measured(rest, sets).where(_linked()).select("a", "b"))
 
 
-def _windows(unsettled: DataFrame, distances: DataFrame, sets: DataFrame, pivots: list[str]) -> DataFrame:
+def _reach(unsettled: DataFrame, distances: DataFrame, pivots: list[str]) -> DataFrame:
+    """The rows of `unsettled` with their distances d0, d1, ... to the region's pivots."""
+    d = (1 - F.col("common") / F.col("either")).alias("d")
+    own = ["s", "node", "n", "label", "main", "m", "k"]
+    spokes = unsettled.select(*own, F.posexplode(F.array(*pivots)).alias("i", "p"))
+    spokes = spokes.select(*own, "i", *_ordered("node", "p")).join(distances.select("a", "b", d), ["a", "b"])
+    found = [F.max(F.when(F.col("i") == i, F.col("d"))).alias(f"d{i}") for i in range(len(pivots))]
+    # (s, node) is a key; the other columns come along, so that no join brings them back.
+    return spokes.groupBy("s", "node").agg(*[F.first(c).alias(c) for c in own[2:]], *found)
+
+
+def _windows(reach: DataFrame, sets: DataFrame, pivots: int) -> DataFrame:
     """Pairs (a, b) of a region's stray and another of its members that may link.
 
     A task compares a block of strays with a block of members and returns only the pairs
     that the windows and the sketches leave.
     """
-    d = (1 - F.col("common") / F.col("either")).alias("d")
-    spokes = unsettled.select("s", "node", F.posexplode(F.array(*pivots)).alias("i", "p"))
-    spokes = spokes.select("s", "node", "i", *_ordered("node", "p")).join(distances.select("a", "b", d), ["a", "b"])
-    reach = spokes.groupBy("s", "node").agg(*[F.max(F.when(F.col("i") == i, F.col("d"))).alias(f"d{i}") for i in range(len(pivots))])
     stray = F.col("label") != F.col("main")
-    size = unsettled.groupBy("s").agg(F.count("*").alias("m"), F.count_if(stray).alias("k")).where("k > 0 and m > 1")
-    rows = unsettled.drop(*pivots, "size").join(reach, ["s", "node"]).join(size, "s")
     # Two members may share many regions; the least that both are unsettled in compares them.
     # A list holds at most a set's first shingles.
-    shared = unsettled.groupBy("node").agg(F.array_sort(F.collect_list("s")).alias("regions"))
-    rows = rows.join(sets.select("node", "sketch"), "node").join(shared, "node")
+    shared = reach.groupBy("node").agg(F.array_sort(F.collect_list("s")).alias("regions"))
+    rows = reach.join(sets.select("node", "sketch"), "node").join(shared, "node")
     blocks = {"m": F.ceil(F.col("m") / BLOCK).cast("int"), "k": F.ceil(F.col("k") / BLOCK).cast("int")}
     own = {name: F.pmod(F.xxhash64("node"), n).cast("int") for name, n in blocks.items()}
-    columns = ["s", "i", "j", "stray", "node", "n", "label", "main", *[f"d{i}" for i in range(len(pivots))], "sketch", "regions"]
+    columns = ["s", "i", "j", "stray", "node", "n", "label", "main", *[f"d{i}" for i in range(pivots)], "sketch", "regions"]
 
     def lots(count: str, lot) -> Column:
         return F.transform(F.sequence(F.lit(0), blocks[count] - 1), lot)

@@ -139,3 +139,23 @@ def test_plans_of_the_links_stay_small(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(words[i % 3:20 + i % 7])) for i in range(12)], "doc_id bigint, text string")
     jaccard.join(docs).collect()
     assert len(found) == 2 and max(found) <= 12
+
+
+def test_no_written_step_has_a_large_plan(spark, monkeypatch):
+    """Each step's plan is held and planned anew on the driver after every one of its shuffles."""
+    found, real = {}, jaccard.written
+
+    def written(df, kind="table"):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        found[kind] = sum(plan.count(f"Exchange {by}") for by in ("hash", "range", "Single", "Round"))
+        return real(df, kind)
+
+    monkeypatch.setattr(jaccard, "written", written)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = corpus(4, copies=20, others=5)
+        assert run(spark, docs) == brute(docs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {"unsettled", "rest"} <= set(found) and max(found.values()) <= 8, found
