@@ -110,6 +110,17 @@ def test_quantiles_of_ties_and_extremes(spark, monkeypatch, sketch):
     assert found == pytest.approx(list(np.quantile(values, probs)))
 
 
+def test_values_meet_their_brackets_in_compiled_code(spark):
+    values = spark.createDataFrame([("x", float(v)) for v in range(9)], "variable string, value double")
+    brackets = spark.createDataFrame(
+        [("x", 9, [(0, 0.25, 1.0, 3.0), (1, 0.5, 4.0, 4.0)])],
+        "variable string, n bigint, brackets array<struct<slot: int, p: double, lo: double, hi: double>>")
+    counted = quantiles._counted(values, brackets, ["variable"])
+    found = {(r["slot"], r["value"]): r["m"] for r in counted.collect()}
+    assert found == {(0, None): 1, (0, 1.0): 1, (0, 2.0): 1, (0, 3.0): 1, (1, None): 4, (1, 4.0): 1}
+    assert "lambda" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_quantiles_of_a_million_groups(spark):
     df = spark.range(2_500_000).select((F.col("id") % 1_000_000).alias("g"), F.col("id").cast("double").alias("x"))
     out = exact_quantiles(df, ["x"], [0.5], ["g"])
