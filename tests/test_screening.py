@@ -270,3 +270,26 @@ def test_rounds_take_the_statistics_once(spark, monkeypatch):
     monkeypatch.setattr(screening, "correlation_pairs", lambda *args: calls.append(args) or made(*args))
     out = flows.rounds(df, "y", ["strong", "twin", "noise"], ["kind"], ["id"])
     assert {tuple(r) for r in out.collect()} == expected and len(calls) == 1
+
+
+def test_the_registered_search_is_fitted_on_all_rows(spark, monkeypatch):
+    from bandwright.plans import catalogue
+
+    n = 9_000
+    x = {c: ((F.col("id") * (i + 3)) % 97).cast("double").alias(c) for i, c in enumerate(catalogue.FEATURES)}
+    kinds = [(F.col("id") % 5).cast("string").alias(c) for c in catalogue.CATEGORICAL]
+    dev = spark.range(n).select(F.col("id").alias("order_id"), (F.col("id") % 3 == 0).cast("int").alias("bad"), *x.values(), *kinds)
+    seen = []
+
+    def rounds(frame, target, names, *rest):
+        seen.append(frame.agg(F.sum(F.size(target)).alias("n")).first()["n"])
+        return spark.createDataFrame([(c, 0, 1, "tentative") for c in names], "variable string, hits int, trials int, decision string")
+
+    monkeypatch.setattr(allrelevant, "_rounds", rounds)
+    monkeypatch.setattr(catalogue, "_dev", lambda *where: dev)
+    monkeypatch.setattr(catalogue, "_searches", {})
+    assert catalogue.REGISTRY["boruta"](spark, "own rows").count() == len(x) + len(kinds) and seen == [n]
+
+
+def test_rounds_of_the_search_get_small_tasks():
+    assert [allrelevant._tasks(n) for n in (1, 4, 44, 109, 656, 4_500, 39_000)] == [2, 2, 2, 7, 8, 9, 78]
